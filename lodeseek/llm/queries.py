@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.llm.decontaminate import decontaminate
 from lodeseek.llm.exact_dedup import exact_dedup
 from lodeseek.llm.near_dedup import near_dedup
 
@@ -15,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    r = F.col("result")
+    return got.select(
+        "doc_id", r.n_words.alias("n_words"), r.n_hit.alias("n_hit"), F.size(r["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(r["items"], ",").cast("binary"), 256).alias("items_sha256"), (r.n_hit > 0).alias("contaminated")
+    )
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -24,11 +33,35 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op4_near_dedup": op4_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+        win AS (
+            SELECT DISTINCT item_id, least(10, len(w)) AS l, array_to_string(w[i:i + 9], ' ') AS s
+            FROM b, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS t(i) WHERE len(w) > 0),
+        lens AS (SELECT DISTINCT l FROM win),
+        pos AS (
+            SELECT doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') AS s
+            FROM d, lens, unnest(range(1, len(w) - l + 2)) AS t(i) WHERE len(w) >= l),
+        occ AS (SELECT doc_id, i, l, item_id FROM pos JOIN win USING (s, l)),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM occ) GROUP BY doc_id),
+        its AS (
+            SELECT doc_id, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS h
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items,
+               coalesce(its.h, sha256('')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+    """,
     "op9_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s
