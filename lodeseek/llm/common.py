@@ -286,3 +286,41 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
             held_key = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray, np.ndarray, float]:
+    """Training rows: texts, labels, folds 1..4 of a bounded sample, and the share of label 1 among all training labels.
+
+    Only rows whose crc32(id as text) mod 5 is not 0. per_class rows of each label are taken in the order of a hash
+    of the id; those with a text of over max_bytes are left out of training (never of scoring).
+    """
+    rows = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y")).where("i is not null and y in (0, 1)")
+    rows = rows.groupBy("i").agg(F.max("y").alias("y")).withColumn("f", fold(F.col("i"), 5)).where("f <> 0")
+    n, ones = rows.agg(F.count("*"), F.sum("y")).first()
+    taken = [rows.where(rows.y == k).orderBy(F.xxhash64("i"), "i").limit(per_class) for k in (0, 1)]
+    text = F.col(f"`{text_col}`")
+    got = docs.select(F.col(f"`{id_col}`").alias("i"), F.coalesce(text, F.lit("")).alias("t")).where(F.octet_length("t") <= max_bytes)
+    got = got.join(F.broadcast(taken[0].unionByName(taken[1])), "i").orderBy(F.xxhash64("i"), "i", "t").select("t", "y", "f").collect()
+    return [r.t for r in got], np.array([r.y for r in got], np.float64), np.array([r.f for r in got]), (ones or 0) / n if n else 0.5
+
+
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Weights of a logistic regression (the last is the constant), by Newton steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.ones(len(x)) if w is None else w
+    b = np.zeros(x.shape[1])
+    reg = np.full(x.shape[1], ridge)
+    reg[-1] = 1e-6
+    for _ in range(rounds):
+        p = sigmoid(x @ b)
+        g = x.T @ (w * (p - y)) + reg * b
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(reg + 1e-9)
+        step = np.linalg.solve(h, g)
+        b -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return b
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))

@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.decontaminate import decontaminate
 from lodeseek.llm.exact_dedup import exact_dedup
+from lodeseek.llm.common import fold
+from lodeseek.llm.lm_score import lm_scores
 from lodeseek.llm.near_dedup import near_dedup
+from lodeseek.llm.quality import quality_scores
+from lodeseek.llm.toxicity import toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     r = F.col("result")
@@ -24,17 +32,33 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _judged(got: DataFrame, least: float) -> DataFrame:
+    score = F.col("result").score
+    return got.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), score.alias("score"), (score >= least).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digests=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
+    "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
+    "op5_quality": op5_quality,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
