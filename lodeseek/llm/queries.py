@@ -13,6 +13,7 @@ from lodeseek.llm.common import fold
 from lodeseek.llm.lm_score import lm_scores
 from lodeseek.llm.near_dedup import near_dedup
 from lodeseek.llm.quality import quality_scores
+from lodeseek.llm.suffix_dedup import suffix_dedup
 from lodeseek.llm.toxicity import toxicity_scores
 
 
@@ -49,6 +50,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digests=True)
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_quality": op5_quality,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
