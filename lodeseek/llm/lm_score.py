@@ -15,7 +15,8 @@ the totals, in the order asked. Each block then builds the automaton of its own
 texts through it. Requests and answers are one binary row for each block and bucket, so work in the JVM does not
 grow with the number of n-grams; the exchange of the texts is used for both passes (Spark reuses it).
 
-Hashes of n-grams have as many bits as make a false match rarer than one in a million (at least 48; words: 64).
+Hashes of n-grams have as many bits as make a false match rarer than one in a million (at least 48; words: 48 below the
+bucket's bits).
 
 Defined results: null and empty texts are the end token alone; without training documents N = V = 0 and all tokens
 are unknown; rows that repeat an id are texts of their own; columns other than id and text are not looked at.
@@ -25,7 +26,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm import common as C
+from lodeseek.llm.common import from_six, six
 
 U = np.uint64
 ORDER = 3
@@ -72,7 +73,7 @@ def grams(seq: np.ndarray, at: np.ndarray, order: int) -> list[tuple[np.ndarray,
     return out
 
 
-def pack(keys: np.ndarray, bits: int) -> bytes:
+def pack(keys: np.ndarray, bits: int) -> tuple[bytes, bytes]:
     """Sorted keys below 2**bits: how many share each high part, and the low 32 bits."""
     high = np.bincount((keys >> U(32)).astype(np.int64), minlength=1 << max(0, bits - 32)).astype(np.uint32) if bits > 32 else np.array([len(keys)], np.uint32)
     return zlib.compress(high.tobytes(), 1), (keys & U(0xFFFFFFFF)).astype(np.uint32).tobytes()
@@ -93,7 +94,8 @@ class Layout:
         self.kept = max(33, min(64, max(48, math.ceil(math.log2(tokens)) + 20)) - self.bucket_bits)
 
     def reduce(self, h: np.ndarray, o: int) -> np.ndarray:
-        return h if o == 1 else h >> U(64 - self.bucket_bits - self.kept)
+        """Words keep 48 bits below the bucket's."""
+        return h >> U(16 - self.bucket_bits) if o == 1 else h >> U(64 - self.bucket_bits - self.kept)
 
 
 def block_grams(table: pa.Table, lay: Layout):
@@ -107,10 +109,11 @@ def block_grams(table: pa.Table, lay: Layout):
 
 
 def requests(lay: Layout):
-    shift = [U(64 - lay.bucket_bits)] + [U(lay.kept)] * lay.order
+    shift = [U(48)] + [U(lay.kept)] * lay.order
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("k", "ascending"), ("t", "ascending")])
+        block = table["block"][0].as_py()
+        table = C.undeal(table, ["k", "t"])
         seq, at, orders = block_grams(table, lay)
         train = np.repeat(table["train"].to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
         rows: list[list[list[bytes]]] = [[] for _ in range(1 << lay.bucket_bits)]
@@ -120,12 +123,11 @@ def requests(lay: Layout):
             for b in range(1 << lay.bucket_bits):
                 part = keys[cut[b] : cut[b + 1]]
                 if o == 0:
-                    high, low = b"", part.tobytes()
+                    high, low = b"", six(part)
                 else:
                     high, low = pack(part & U((1 << lay.kept) - 1), lay.kept)
                 rows[b].append([high, low, zlib.compress(count[cut[b] : cut[b + 1]].tobytes(), 1)])
         n = len(rows)
-        block = table["block"][0].as_py()
         return pa.table({"bucket": pa.array(range(n), pa.int32()), "block": pa.array([block] * n, pa.int32()), "asked": pa.array(rows, pa.list_(pa.list_(pa.binary())))})
 
     return run
@@ -134,7 +136,7 @@ def requests(lay: Layout):
 def totals(table: pa.Table, o: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """Distinct keys of a bucket with summed counts; for each request, in order, the index of its keys; requests' sizes."""
     asked = table["asked"].to_pylist()
-    keys = [np.frombuffer(a[o][1], np.uint64) if o == 0 else unpack(a[o][0], a[o][1]) for a in asked]
+    keys = [from_six(a[o][1]) if o == 0 else unpack(a[o][0], a[o][1]) for a in asked]
     counts = np.concatenate([np.frombuffer(zlib.decompress(a[o][2]), np.uint32) for a in asked])
     uniq, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     return uniq, np.bincount(inverse, weights=counts, minlength=len(uniq)).astype(np.int64), inverse, [len(k) for k in keys]
@@ -154,11 +156,17 @@ def answers(lay: Layout):
     return run
 
 
-def vocabulary(table: pa.Table) -> pa.Table:
+def vocabulary(lay: Layout):
     """Of a bucket: training tokens and distinct training tokens."""
-    uniq, total, _, _ = totals(table, 0)
-    total = total[uniq != BEGIN]
-    return pa.table({"n": pa.array([int(total.sum())]), "v": pa.array([int((total > 0).sum())])})
+    begin = int(lay.reduce(BEGIN, 1))
+
+    def run(table: pa.Table) -> pa.Table:
+        uniq, total, _, _ = totals(table, 0)
+        if table["bucket"][0].as_py() == begin >> 48:
+            total = total[uniq != U(begin & ((1 << 48) - 1))]
+        return pa.table({"n": pa.array([int(total.sum())]), "v": pa.array([int((total > 0).sum())])})
+
+    return run
 
 
 def walk(arcs: list[np.ndarray], contexts: list[np.ndarray], n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +196,7 @@ def walk(arcs: list[np.ndarray], contexts: list[np.ndarray], n: int, v: int) ->
 
 def scores(lay: Layout):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by([("k", "ascending"), ("t", "ascending")])
+        left = C.undeal(left, ["k", "t"])
         seq, at, orders = block_grams(left, lay)
         right = right.sort_by("bucket")
         got = right["counts"].to_pylist()
@@ -225,9 +233,10 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     ident = F.col(f"`{id_col}`")
     rows = docs.select(F.pmod(F.xxhash64(ident, F.substring(text, 1, 64)), F.lit(blocks)).cast("int").alias("block"), ident.alias("k"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("t"))
+    rows = C.deal(rows)
     asked = rows.groupBy("block").applyInArrow(requests(lay), "bucket int, block int, asked array<array<binary>>").groupBy("bucket")
     told = asked.applyInArrow(answers(lay), "block int, bucket int, counts array<binary>")
-    count = asked.applyInArrow(vocabulary, "n bigint, v bigint").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    count = asked.applyInArrow(vocabulary(lay), "n bigint, v bigint").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     told = told.crossJoin(F.broadcast(count))  # one row
     out = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scores(lay), f"k {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.select(F.col("k").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
