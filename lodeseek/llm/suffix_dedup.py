@@ -36,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm import common as C
+from lodeseek.llm.common import from_six, six
 
 U = np.uint64
 WINDOW, K = 50, 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: A text is handled in pieces of so many window starts; pieces overlap by a window.
-PIECE = 1 << 20
+PIECE = 1 << 18
 SHARDS = 8
 POS = U((1 << 24) - 1)
 NONE = np.iinfo(np.int64).max
@@ -106,7 +107,7 @@ class Block:
     """A block's texts in a fixed order, its runs, and its distinct (anchor, context) keys."""
 
     def __init__(self, table: pa.Table, window: int):
-        self.table = table = table.sort_by([("k", "ascending"), ("t", "ascending")])
+        self.table = table = C.undeal(table, ["k", "t"])
         self.ids = table["k"].fill_null(NONE).to_numpy()
         self.data, self.offs = C.text_buffer(table["t"])
         self.anchor, ctx, self.lo, self.hi, self.doc = runs(self.data, self.offs, window)
@@ -142,26 +143,17 @@ def ids_of(head: bytes, body: bytes) -> np.ndarray:
     return np.frombuffer(body, np.dtype(head[8:].decode())).astype(np.int64) + np.frombuffer(head[:8], np.int64)[0]
 
 
-def six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def requests(bits: int, window: int):
     def run(table: pa.Table) -> pa.Table:
         blk = Block(table, window)
+        block = table["block"][0].as_py()
         cut = blk.cut(bits)
         rows = []
         for b in range(1 << bits):
             s = slice(cut[b], cut[b + 1])
             rows.append([six(blk.key_anchor[s] >> U(max(0, 64 - bits - 48))), six(blk.key_ctx[s]), *small_ids(blk.key_id[s])])
         n = len(rows)
-        return pa.table({"bucket": pa.array(range(n), pa.int32()), "block": pa.array([table["block"][0].as_py()] * n, pa.int32()), "asked": pa.array(rows, pa.list_(pa.binary()))})
+        return pa.table({"bucket": pa.array(range(n), pa.int32()), "block": pa.array([block] * n, pa.int32()), "asked": pa.array(rows, pa.list_(pa.binary()))})
 
     return run
 
@@ -344,7 +336,7 @@ def cuts(bits: int, window: int, id_kind: pa.DataType):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         blk = Block(left, window)
         n = len(blk.offs) - 1
-        delta = np.zeros(len(blk.data) + 1, np.int64)
+        delta = np.zeros(len(blk.data) + 1, np.int32)
         if right.num_rows and len(blk.lo):
             cut = blk.cut(bits)
             first = np.asarray(right["merged"].to_numpy(zero_copy_only=False)).astype(bool)
@@ -370,7 +362,7 @@ def cuts(bits: int, window: int, id_kind: pa.DataType):
                 start = (np.repeat(blk.lo[rest], size) + off)[flags[np.repeat(begin[blk.code[rest]], size) + off] > 0]
                 np.add.at(delta, start, 1)
                 np.add.at(delta, start + window, -1)
-        gone = np.cumsum(delta[:-1]) > 0
+        gone = np.cumsum(delta[:-1], dtype=np.int32) > 0
         removed, spans, sha, kept, where = np.zeros(n, np.int64), np.zeros(n, np.int64), [], [], []
         raw = blk.data.tobytes()
         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
@@ -411,6 +403,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = min(14, max(6, (size // (8 << 20)).bit_length()))
     ident, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.pmod(F.xxhash64(ident, F.substring(text, 1, 64)), F.lit(blocks)).cast("int").alias("block"), ident.alias("k"), text.alias("t"))
+    rows = C.deal(rows)
     asked = rows.groupBy("block").applyInArrow(requests(bits, window), "bucket int, block int, asked array<binary>")
     told = asked.groupBy("bucket").applyInArrow(answers, "block int, bucket int, told array<binary>")
     by_block = rows.groupBy("block")
