@@ -79,28 +79,47 @@ def _runs(data: np.ndarray, offs: np.ndarray, window: int):
     if n <= 0:
         return None
     sums = C.prefix_sums(data)
-    at = np.arange(len(data) - K + 1)
-    grams = C.span_hash(sums, at, at + K)
-    key = (grams & ~POS) | at.astype(np.uint64)
-    span, low = window - K + 1, key
-    have = 1
+    m = len(data) - K + 1
+    # The order of K-grams: the high 40 bits of a multiplied hash, then the place.
+    low = (sums[K:] - sums[:-K]) * C.powers(len(sums))[1][:m]
+    low *= U(0x9E3779B97F4A7C15)
+    low ^= low >> U(29)
+    low *= U(0xBF58476D1CE4E5B9)
+    low &= ~POS
+    low |= np.arange(m, dtype=np.uint64)
+    span, have = window - K + 1, 1
     while have * 2 <= span:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
     if have < span:
         low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
-    pos = (low[:n] & POS).astype(np.int64)
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[:n]
-    ok = np.arange(n) + window <= offs[1:][doc]
-    new = ok.copy()
-    new[1:] &= (pos[1:] != pos[:-1]) | (doc[1:] != doc[:-1])
-    end = ok.copy()
-    end[:-1] &= ~ok[1:] | new[1:]
+    # Windows that would cross the end of a text: the last window - 1 starts of each.
+    cross = np.zeros(len(data) + 1, np.int32)
+    ends = offs[1:]
+    np.add.at(cross, np.maximum(offs[:-1], ends - window + 1), 1)
+    np.add.at(cross, ends, -1)
+    ok = np.cumsum(cross, dtype=np.int32)[:n] == 0
+    new, end = ok.copy(), ok.copy()
+    change = low[1:n] != low[: n - 1]
+    new[1:] &= change | ~ok[:-1]
+    end[:-1] &= change | ~ok[1:]
     lo, hi = np.flatnonzero(new), np.flatnonzero(end)
     if not len(lo):
         return None
-    ctx = C.join_hash(C.span_hash(sums, lo, hi + window), (pos[lo] - lo).astype(np.uint64))
-    return grams[pos[lo]], ctx, lo, hi, doc[lo]
+    pos = (low[lo] & POS).astype(np.int64)
+    ctx = C.join_hash(C.span_hash(sums, lo, hi + window), (pos - lo).astype(np.uint64))
+    return C.span_hash(sums, pos, pos + K), ctx, lo, hi, np.searchsorted(offs, lo, "right") - 1
+
+
+def order_by(first: np.ndarray, *rest: np.ndarray) -> np.ndarray:
+    """Order by first, then by rest: only rows that share their first key are sorted by all."""
+    order = np.argsort(first)
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = first[order[1:]] == first[order[:-1]]
+    tied = np.flatnonzero(same[:-1] | same[1:])
+    rows = order[tied]
+    order[tied] = rows[np.lexsort([k[rows] for k in (*rest[::-1], first)])]
+    return order
 
 
 class Block:
@@ -111,7 +130,7 @@ class Block:
         self.ids = table["k"].fill_null(NONE).to_numpy()
         self.data, self.offs = C.text_buffer(table["t"])
         self.anchor, ctx, self.lo, self.hi, self.doc = runs(self.data, self.offs, window)
-        order = np.lexsort((self.doc, ctx, self.anchor))
+        order = order_by(self.anchor, ctx, self.doc)
         a, c = self.anchor[order], ctx[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
@@ -173,7 +192,7 @@ def answers(table: pa.Table) -> pa.Table:
     ctx = np.concatenate([from_six(a[1]) for a in asked])
     ids = np.concatenate([ids_of(a[2], a[3]) for a in asked])
     sizes = [len(a[0]) // 6 for a in asked]
-    order = np.lexsort((ctx, anchor))
+    order = order_by(anchor, ctx)
     a, c, d = anchor[order], ctx[order], ids[order]
     least, flag = np.full(len(a), NONE), np.zeros(len(a), np.uint8)
     if len(a):
@@ -235,47 +254,66 @@ def open_contexts(bits: int, window: int):
     return run
 
 
+def ranks(key: np.ndarray) -> np.ndarray:
+    """Dense ranks of keys."""
+    order = np.argsort(key)
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(starts_of(key[order])) - 1
+    return out
+
+
 def shard_transform(data: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of all suffixes of the texts by their first depth bytes, and the Burrows-Wheeler transform.
 
-    Each text is followed by a terminator, symbol 0, which is smaller than all bytes (symbols 1..256). Suffix p of the
-    padded sequence; ties stand in text order.
+    Each text is followed by a terminator, symbol 0, which is smaller than all bytes (symbols 1..256). Ranks of the
+    first seven symbols are doubled up to depth; suffixes that agree so far may stand in any order.
     """
     n = len(size)
-    seq = np.zeros(len(data) + n, np.uint16)
     ends = np.cumsum(size + 1) - 1
+    seq = np.zeros(len(data) + n, np.uint16)
     body = np.ones(len(seq), bool)
     body[ends] = False
-    seq[body] = data.astype(np.uint16) + 1
-    left = np.repeat(ends, size + 1) - np.arange(len(seq))  # bytes up to the terminator
-    raw = np.zeros(len(seq) + depth + 8, np.uint8)
-    raw[: len(seq)][body] = data
-    keys = [np.minimum(left, depth)]
-    for k in range((depth + 7) // 8 * 8 - 8, -1, -8):
-        word = np.zeros(len(seq), np.uint64)
-        for b in range(8):
-            use = (left > k + b) & (k + b < depth)
-            word = (word << U(8)) | np.where(use, raw[k + b : k + b + len(seq)], 0).astype(np.uint64)
-        keys.append(word)
-    order = np.lexsort(keys)
-    before = np.concatenate([[0], seq[:-1]])
+    seq[body] = data
+    seq[body] += np.uint16(1)
+    left = np.repeat(ends, size + 1) - np.arange(len(seq))  # symbols up to the terminator
+    long = np.concatenate([seq.astype(np.uint64), np.zeros(8, np.uint64)])
+    have = min(7, depth)
+    key = np.zeros(len(seq), np.uint64)
+    for k in range(have):
+        key = (key << U(9)) | np.where(left >= k, long[k : k + len(seq)], U(0))
+    rank = ranks(key)
+    while have < depth:
+        step = min(have, depth - have)
+        after = np.zeros(len(seq), np.uint64)
+        after[: len(seq) - step] = rank[step:] + U(1)
+        after[left < step] = 0
+        rank = ranks((rank << U(32)) | after)
+        have += step
+    order = np.argsort(rank, kind="stable")
+    before = np.concatenate([[0], seq[:-1]]).astype(np.uint16)
     return order, before[order]
 
 
 def merge_transforms(bwts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the shards' suffixes ordered by their first `rounds` symbols, and where intervals of equal ones begin."""
-    z = np.repeat(np.arange(len(bwts), dtype=np.uint8 if len(bwts) < 256 else np.uint16), [len(b) for b in bwts])
+    z = np.repeat(np.arange(len(bwts), dtype=np.uint8), [len(b) for b in bwts])
     text = np.concatenate(bwts)
-    group = np.zeros(len(z), np.int64)
-    sym = np.empty(len(z), np.uint16)
+    used = np.flatnonzero(np.bincount(text, minlength=257))
+    if len(used) <= 256:  # symbols by rank fit one byte, which sorts in one pass
+        number = np.zeros(257, np.uint8)
+        number[used] = np.arange(len(used))
+        text = number[text]
+    group = np.zeros(len(z), np.int32)
+    sym = np.empty(len(z), text.dtype)
     new = np.zeros(len(z), bool)
+    new[:1] = True
     for _ in range(rounds):
         sym[np.argsort(z, kind="stable")] = text  # the next symbol of each shard, in the interleave's order
         deal = np.argsort(sym, kind="stable")
-        z = z[deal]
-        s, g = sym[deal], group[deal]
-        new = starts_of(s, g)
-        group = np.cumsum(new)
+        z, s, g = z[deal], sym[deal], group[deal]
+        np.not_equal(g[1:], g[:-1], out=new[1:])
+        new[1:] |= s[1:] != s[:-1]
+        np.cumsum(new, out=group)
     return z, new
 
 
