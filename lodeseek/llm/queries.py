@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from lodeseek.llm.decontaminate import decontaminate
 from lodeseek.llm.exact_dedup import exact_dedup
 from lodeseek.llm.common import fold
+from lodeseek.llm.language import language_id
+from lodeseek.llm.licenses import license_scan
 from lodeseek.llm.lm_score import lm_scores
 from lodeseek.llm.near_dedup import near_dedup
+from lodeseek.llm.packing import packing
 from lodeseek.llm.quality import quality_scores
 from lodeseek.llm.suffix_dedup import suffix_dedup
 from lodeseek.llm.toxicity import toxicity_scores
@@ -50,23 +53,39 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = license_scan(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.array_join("families", ",").alias("families"), F.size("families").cast("long").alias("n_families"), F.size("findings").cast("long").alias("n_findings"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix_dedup(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_quality": op5_quality,
+    "op6_license_scan": op6_license_scan,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE: dict[str, str] = {
