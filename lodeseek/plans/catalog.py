@@ -1,4 +1,6 @@
 """All named queries of the engine with their SQL counterparts."""
 
-QUERIES = {}
-ORACLE = {}
+from lodeseek.plans import text_queries  # noqa: F401  (registers its queries)
+from lodeseek.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
