@@ -46,10 +46,14 @@ def node_line(name: Column, kind: Column, properties: Column) -> Column:
     return F.concat(F.lit("["), name, F.lit("|"), kind, F.lit("]"), F.when(shown != "", F.concat(F.lit(" "), shown)).otherwise(""))
 
 
+def _named(name: str):
+    return lambda p: p.k == F.lit(name)
+
+
 def serialize_nodes(nodes: DataFrame) -> DataFrame:
     """(id, line) of nodes (id, name, type, properties); root columns of NODE_FIELDS follow where the properties lack them."""
     root = [c for c in NODE_FIELDS if c in nodes.columns]
-    extra = [F.when(~F.exists("properties", lambda p, c=c: p.k == c), F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))) for c in root]
+    extra = [F.when(~F.exists("properties", _named(c)), F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))) for c in root]
     props = F.concat(F.col("properties"), F.filter(F.array(*extra), lambda x: x.isNotNull())) if extra else F.col("properties")
     return nodes.select("id", node_line(F.coalesce("name", F.col("id").cast("string")), F.coalesce("type", F.lit("")), props.cast(PROPERTIES)).alias("line"))
 
@@ -288,14 +292,14 @@ def search_map(top: DataFrame, every: DataFrame, budget: int, dirs: list[str] |
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(False).alias("over"), F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, r: Column) -> Column:
-        size, is_file = F.length(r.line).cast("long"), r.k == 0
-        fits = s.sum + size <= F.col("room")
-        take = ~s.over & fits & (is_file | ~s.skip)
+        size, is_file = F.length(r["line"]).cast("long"), r["k"] == 0
+        fits = s["sum"] + size <= F.col("room")
+        take = ~s["over"] & fits & (is_file | ~s["skip"])
         return F.struct(
-            F.when(take, s.sum + size).otherwise(s.sum).alias("sum"),
-            (s.over | (is_file & ~fits)).alias("over"),
-            F.when(is_file, F.lit(False)).otherwise(s.skip | ~fits).alias("skip"),
-            F.when(take, F.concat(s.out, F.array(r.line))).otherwise(s.out).alias("out"),
+            F.when(take, s["sum"] + size).otherwise(s["sum"]).alias("sum"),
+            (s["over"] | (is_file & ~fits)).alias("over"),
+            F.when(is_file, F.lit(False)).otherwise(s["skip"] | ~fits).alias("skip"),
+            F.when(take, F.concat(s["out"], F.array(r["line"]))).otherwise(s["out"]).alias("out"),
         )
 
     body = listed.withColumn("room", room).select(F.posexplode(F.aggregate("l", start, step)["out"]).alias("pos", "line"))
