@@ -24,6 +24,8 @@ from lodeseek.llm import common as C
 PER_CLASS, MAX_BYTES = 800, 16_384
 WIDTH, EMBED, FILTERS, STRIDE = 6, 8, 16, 128
 EPOCHS, BATCH, RATE = 14, 40, 0.01
+#: Small samples are gone through more often, up to so many steps in all.
+STEPS = 560
 
 
 def padded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +74,7 @@ class ByteNet:
     def score(self, data: np.ndarray, offs: np.ndarray, tables: np.ndarray) -> np.ndarray:
         return C.sigmoid(self.features(data, offs, tables).astype(np.float64) @ self.out + self.const[0])
 
-    def gradients(self, data: np.ndarray, offs: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    def gradients(self, data: np.ndarray, offs: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
         x, at, first = padded(data, offs)
         z = self.responses(x, self.tables())
         pooled = np.empty((len(at), FILTERS), np.float32)
@@ -96,7 +98,7 @@ class ByteNet:
         mean = np.add.reduceat(pooled, first[:-1], axis=0) / count
         top = np.maximum.reduceat(pooled, first[:-1], axis=0)
         feat = np.hstack([mean, top])
-        err = ((C.sigmoid(feat @ self.out + self.const[0]) - y) / len(y)).astype(np.float32)
+        err = (w * (C.sigmoid(feat @ self.out + self.const[0]) - y) / len(y)).astype(np.float32)
         best = pooled == top[doc]
         g = err[doc][:, None] * (self.out[:FILTERS] / count[doc] + self.out[FILTERS:] * best) * on
         tab = np.zeros((WIDTH, 256, FILTERS), np.float32)
@@ -113,25 +115,26 @@ class ByteNet:
 
 
 def train(texts: list[str], y: np.ndarray, share: float) -> ByteNet:
-    """Adam on balanced batches; the constant is corrected for the share of label 1."""
+    """Adam, with both labels weighing the same; the constant is then corrected for the share of label 1."""
     net = ByteNet()
     raw = [t.encode() for t in texts]
     m = [np.zeros_like(p) for p in net.params()]
     v = [np.zeros_like(p) for p in net.params()]
     r, step = np.random.default_rng(2), 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS) + RATE / 20
+    w = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
+    epochs = max(EPOCHS, -(-STEPS // max(1, len(raw) // BATCH)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs) + RATE / 20
         for idx in np.array_split(r.permutation(len(raw)), max(1, len(raw) // BATCH)):
             data = np.frombuffer(b"".join(raw[i] for i in idx), np.uint8)
             offs = np.concatenate([[0], np.cumsum([len(raw[i]) for i in idx])]).astype(np.int64)
             step += 1
-            for p, g, a, b in zip(net.params(), net.gradients(data, offs, y[idx]), m, v, strict=True):
+            for p, g, a, b in zip(net.params(), net.gradients(data, offs, y[idx], w[idx]), m, v, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
-    here = min(max(y.mean(), 1e-6), 1 - 1e-6)
     share = min(max(share, 1e-6), 1 - 1e-6)
-    net.const += np.float32(np.log(share / (1 - share)) - np.log(here / (1 - here)))
+    net.const += np.float32(np.log(share / (1 - share)))
     return net
 
 
