@@ -120,7 +120,7 @@ def language_id(
     # How far to trust a declared tag or a suffix: the text's probability of it, on average over all pages.
     def agreement(col: str) -> Column:
         at = F.array_position(langs, F.col(col))
-        return (F.coalesce(F.sum(F.when(at > 0, F.element_at("text_p", F.greatest(at, F.lit(1)).cast("int")))), F.lit(0.0)) + 9) / (F.sum(F.when(at > 0, 1).otherwise(0)) + 10)
+        return (F.coalesce(F.sum(F.when(at > 0, F.element_at("text_p", F.greatest(at, F.lit(1)).cast("int")))), F.lit(0.0)) + 9) / (F.coalesce(F.sum(F.when(at > 0, 1).otherwise(0)), F.lit(0)) + 10)
 
     trust = rows.agg(agreement("said"), agreement("suffix")).first()
 

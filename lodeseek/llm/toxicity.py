@@ -1,7 +1,8 @@
 """Toxic passages: maximum-scoring segments over token log-odds, judged by extreme-value statistics.
 
 Learning (a bounded sample: PER_CLASS documents of each label, of at most MAX_BYTES each): a token's score is its log-odds
-between toxic and clean texts with an informative Dirichlet prior (the pooled counts, worth PRIOR tokens in all),
+between toxic and clean texts with an informative Dirichlet prior (the pooled counts, worth PRIOR tokens in all, or a
+twentieth of the smaller label's tokens if that is less),
 kept where it exceeds Z_MIN standard errors, less DRIFT, which makes the expected score of clean text negative.
 Tokens are words and their first 8, 7, ... 4 bytes; a word takes the score of the longest of these that is kept, so that
 inflected or compounded forms that were never seen count by their stem.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from lodeseek.llm import common as C
 
 PER_CLASS, MAX_BYTES = 3000, 32_768
-PRIOR, Z_MIN, DRIFT, P_MAX = 2000.0, 4.0, 2.5, 0.01
+PRIOR, Z_MIN, DRIFT, P_MAX = 2000.0, 2.5, 2.5, 0.01
 #: Bytes of a word that are a token; the first stands for the whole word.
 LEVELS = (1 << 30, 8, 7, 6, 5, 4)
 
@@ -48,9 +49,10 @@ def log_odds(h: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     y1 = np.bincount(code, weights=toxic, minlength=len(words))
     y0 = np.bincount(code, minlength=len(words)) - y1
     n1, n0 = y1.sum(), y0.sum()
-    prior = PRIOR * (y1 + y0) / max(n1 + n0, 1)
+    worth = max(1.0, min(PRIOR, min(n1, n0) / 20))
+    prior = worth * (y1 + y0) / max(n1 + n0, 1)
     a, b = y1 + prior, y0 + prior
-    delta = np.log(a / (n1 + PRIOR - a)) - np.log(b / (n0 + PRIOR - b))
+    delta = np.log(a / np.maximum(n1 + worth - a, 0.5)) - np.log(b / np.maximum(n0 + worth - b, 0.5))
     use = np.abs(delta) >= Z_MIN * np.sqrt(1 / a + 1 / b)
     return words[use], delta[use]
 
