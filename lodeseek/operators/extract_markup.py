@@ -5,6 +5,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeseek.functions.text import strip
 from lodeseek.schema import capsule_id
@@ -78,7 +79,7 @@ def plain_text(html: Column, most: int = 3000) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"\s+", " ")), 1, most)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def parsed_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text nodes by the standard HTML parser, trimmed and joined by new lines, at most 3000 characters."""
     from html.parser import HTMLParser

@@ -41,3 +41,12 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_points_need_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
+    assert said.stdout.strip().endswith("True"), said.stderr
