@@ -130,6 +130,12 @@ def framework_mention(query: Column, whole_words: bool = True) -> Column:
     return F.coalesce(*[F.when(hit(v), k) for k, v in FRAMEWORK_QUERIES.items()], F.lit(""))
 
 
+def mentioned_framework(query: str) -> str:
+    """framework_mention of one request."""
+    q = query.lower()
+    return next((k for k, v in FRAMEWORK_QUERIES.items() if any(re.search(rf"(?<!\w){re.escape(w)}(?!\w)", q) for w in v)), "")
+
+
 def relations(query: Column) -> Column:
     """Sorted distinct relation types that the query names."""
     q = F.lower(query)

@@ -1,7 +1,8 @@
-"""Framework rules: ordered passes that may retype a capsule and name its framework.
+"""Framework rules: ordered rules that may retype a capsule and name its framework.
 
-Each rule is one column expression over the state that the rules before it left; a rule is a chain of alternatives,
-of which the first that holds applies. Nothing leaves the JVM.
+What a rule tests of the text is one boolean column; the rules then fold over a small state (type, framework) in an
+array aggregate. So a later rule sees what earlier ones changed, yet no expression repeats another, and nothing leaves
+the JVM. Rules of one chain are alternatives: the first that holds closes the chain.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -29,105 +30,116 @@ def base(*parts: str) -> Column:
     return contains_any(C("_base"), list(parts))
 
 
-def kind(*types: str) -> Column:
-    return C("type").isin(*types)
-
-
 def lang(*names: str) -> Column:
     return C("language").isin(*names)
 
 
 JS, JVM = ("javascript", "typescript"), ("java", "kotlin")
-KEEP = None  # leaves the type, or the framework, as it is
+FUNCTIONS = ("function", "async_function")
+
+
+def rule(chain: int, test: Column, to: str | Column = "", frame: str | Column = "", types=(), to_types=(), only: bool = False, default: bool = False, last: bool = False) -> Column:
+    """types: the rule holds for these types only (empty: all). to_types: the new type applies to these only. only: the
+    framework comes only with the new type. default: only if there is none yet. last: no rule after it."""
+    text = lambda x: x if isinstance(x, Column) else F.lit(x)
+    names = lambda t: F.array(*[F.lit(x) for x in t]) if t else F.array().cast("array<string>")
+    parts = {"chain": F.lit(chain), "flag": F.coalesce(test, F.lit(False)), "to": text(to), "frame": text(frame), "types": names(types), "to_types": names(to_types), "only": F.lit(only), "default": F.lit(default), "last": F.lit(last)}
+    return F.struct(*[v.alias(k) for k, v in parts.items()])
 
 
-def rules() -> list[list[tuple[Column, object, str | None]]]:
-    """Chains of (condition, new type, framework), in order."""
+def pick(test: Column, yes: str, no: str = "") -> Column:
+    return F.when(test, F.lit(yes)).otherwise(F.lit(no))
+
+
+def rules() -> list[Column]:
     py, js, jvm = lang("python"), lang(*JS), lang(*JVM)
-    func = kind("function", "async_function")
-    return [
-        [(py & has("web.Application("), KEEP, "aiohttp")],
+    jsx = has("return (", "return <", "React.FC", "useState(", "props.", "export default")
+    handlers = "@shared_task", "@app.task"
+    chains = [
+        [(py & has("web.Application("), {"frame": "aiohttp"})],
+        [
+            (py & (has("@routes.get", "@routes.post") | deco("routes.get", "routes.post")), {"to": "endpoint", "frame": "aiohttp", "last": True}),
+            (py & deco("router.get(", "router.post(", "router.put(", "router.delete(", "router.patch(", ".get(", ".post("), {"to": "endpoint", "frame": "fastapi", "to_types": FUNCTIONS, "only": True}),
+            (py & deco(".route(", "app.route", "bp.route"), {"to": "endpoint", "frame": "flask"}),
+            (py & base("BaseModel"), {"to": "model", "frame": "pydantic", "types": ("class",)}),
+            (py & base("Model)", "models.Model"), {"to": "model", "frame": "django", "types": ("class",)}),
+            (py & base("db.Model"), {"to": "model", "frame": "sqlalchemy", "types": ("class",)}),
+        ],
         [
-            (py & (has("@routes.get", "@routes.post") | deco("routes.get", "routes.post")), "endpoint", "aiohttp!"),
-            (py & deco("router.get(", "router.post(", "router.put(", "router.delete(", "router.patch(", ".get(", ".post("), F.when(func, "endpoint"), "fastapi?"),
-            (py & deco(".route(", "app.route", "bp.route"), "endpoint", "flask"),
-            (py & kind("class") & base("BaseModel"), "model", "pydantic"),
-            (py & kind("class") & base("Model)", "models.Model"), "model", "django"),
-            (py & kind("class") & base("db.Model"), "model", "sqlalchemy"),
+            (js & F.rlike("name", F.lit(r"^\p{Lu}")), {"to": pick(jsx, "component"), "frame": pick(jsx, "react"), "types": ("function",)}),
+            (js & low("use client"), {"to": "component", "frame": "nextjs"}),
+            (js & has("export async function") & low("request", "response", "params"), {"to": "endpoint", "frame": "nextjs"}),
         ],
+        [(lang("typescript") & has("@Controller", "@Module(", "@Injectable(", "@Get("), {"to": pick(has("@Get", "@Post"), "endpoint", "controller"), "frame": "nestjs"})],
+        [(lang("javascript") & low("app.get(", "app.post(", "router.get(", "express.router"), {"to": "endpoint", "frame": "express"})],
         [
-            (js & kind("function") & F.rlike("name", F.lit(r"^\p{Lu}")), F.when(has("return (", "return <", "React.FC", "useState(", "props.", "export default"), "component"), "react?"),
-            (js & low("use client"), "component", "nextjs"),
-            (js & has("export async function") & low("request", "response", "params"), "endpoint", "nextjs"),
+            (jvm & has("@RestController", "@Controller"), {"to": pick(has("@GetMapping", "@PostMapping"), "endpoint", "controller"), "frame": "spring"}),
+            (jvm & has("@Service", "@Repository"), {"frame": "spring"}),
+            (jvm & has("@SpringBootApplication"), {"to": "entrypoint", "frame": "spring"}),
         ],
-        [(lang("typescript") & has("@Controller", "@Module(", "@Injectable(", "@Get("), F.when(has("@Get", "@Post"), "endpoint").otherwise("controller"), "nestjs")],
-        [(lang("javascript") & low("app.get(", "app.post(", "router.get(", "express.router"), "endpoint", "express")],
+        [(lang("php") & has("Route::", "Illuminate\\", "Eloquent"), {"frame": "laravel"})],
+        [(lang("php") & has("Route::get", "Route::post"), {"to": "endpoint", "frame": "laravel"})],
+        [(lang("csharp") & (has("[ApiController]") | base("ControllerBase")), {"to": "controller", "frame": "dotnet"})],
+        [(lang("csharp") & has("[Route(", "[HttpGet"), {"to": "endpoint"})],
+        [(has("type Query", "type Mutation", "graphql") | lang("graphql"), {"to": pick(has("type "), "schema"), "frame": "graphql"})],
+        [(F.contains(F.lower("file_path"), F.lit(".proto")) | (has("service ") & has("rpc ")), {"to": pick(has("service "), "schema"), "frame": "grpc"})],
+        [(py & (has(*handlers) | deco("shared_task", "app.task")), {"to": "task", "frame": "celery", "types": FUNCTIONS})],
+        [(py & contains_any(C("_deco"), ["@routes.get", "@routes.post"]), {"to": "endpoint", "frame": "aiohttp"})],
+        [(py & (base("SQLModel") | (has("table=True") & has("SQLModel"))), {"to": "model", "frame": "sqlmodel", "types": ("class",)})],
+        [(py & (has("@strawberry.type", "strawberry.Schema") | deco("strawberry.type")), {"to": "schema", "frame": "strawberry", "to_types": ("class",)})],
+        [(js & has("defineComponent", "ref(", "reactive(", "computed(", "<template>", "createApp(", "useRouter("), {"to": "component", "frame": "vue", "types": ("function", "class")})],
+        [(js & has("<script setup", "<style scoped>"), {"to": "component", "frame": "vue"})],
+        [(js & has("@Component(", "@Injectable(", "@Pipe(", "@NgModule(", "@Directive("), {"to": F.when(has("@Injectable"), "controller").when(has("@Pipe"), "").otherwise("component"), "frame": "angular"})],
+        [(js & has("$:", "onMount(", "onDestroy(", "createEventDispatcher", "<script>"), {"to": "component", "frame": "svelte"})],
+        [(js & has("useFetch(", "useAsyncData(", "definePageMeta", "useRuntimeConfig("), {"to": "component", "frame": "nuxt"})],
+        [(js & has("export async function loader", "export async function action"), {"to": "endpoint", "frame": "remix"})],
         [
-            (jvm & has("@RestController", "@Controller"), F.when(has("@GetMapping", "@PostMapping"), "endpoint").otherwise("controller"), "spring"),
-            (jvm & has("@Service", "@Repository"), KEEP, "spring"),
-            (jvm & has("@SpringBootApplication"), "entrypoint", "spring"),
+            (lang("ruby") & (has("ApplicationController") | base("ApplicationController")), {"to": "controller", "frame": "rails"}),
+            (lang("ruby") & (has("ApplicationRecord") | base("ApplicationRecord")), {"to": "model", "frame": "rails"}),
+            (lang("ruby") & has("ActiveRecord::Migration"), {"to": "function", "frame": "rails"}),
         ],
-        [(lang("php") & has("Route::", "Illuminate\\", "Eloquent"), KEEP, "laravel")],
-        [(lang("php") & has("Route::get", "Route::post"), "endpoint", "laravel")],
-        [(lang("csharp") & (has("[ApiController]") | base("ControllerBase")), "controller", "dotnet")],
-        [(lang("csharp") & has("[Route(", "[HttpGet"), "endpoint", KEEP)],
-        [(has("type Query", "type Mutation", "graphql") | lang("graphql"), F.when(has("type "), "schema"), "graphql")],
-        [(F.contains(F.lower("file_path"), F.lit(".proto")) | (has("service ") & has("rpc ")), F.when(has("service "), "schema"), "grpc")],
-        [(py & func & (has("@shared_task", "@app.task") | deco("shared_task", "app.task")), "task", "celery")],
-        [(py & has("web.Application("), KEEP, "aiohttp")],
-        [(py & contains_any(C("_deco"), ["@routes.get", "@routes.post"]), "endpoint", "aiohttp")],
-        [(py & kind("class") & (base("SQLModel") | (has("table=True") & has("SQLModel"))), "model", "sqlmodel")],
-        [(py & (has("@strawberry.type", "strawberry.Schema") | deco("strawberry.type")), F.when(kind("class"), "schema"), "strawberry")],
-        [(js & kind("function", "class") & has("defineComponent", "ref(", "reactive(", "computed(", "<template>", "createApp(", "useRouter("), "component", "vue")],
-        [(js & has("<script setup", "<style scoped>"), "component", "vue")],
-        [(js & has("@Component(", "@Injectable(", "@Pipe(", "@NgModule(", "@Directive("), F.when(has("@Injectable"), "controller").when(~has("@Pipe"), "component"), "angular")],
-        [(js & has("$:", "onMount(", "onDestroy(", "createEventDispatcher", "<script>"), "component", "svelte")],
-        [(js & has("useFetch(", "useAsyncData(", "definePageMeta", "useRuntimeConfig("), "component", "nuxt")],
-        [(js & has("export async function loader", "export async function action"), "endpoint", "remix")],
+        [(lang("ruby") & (F.rlike("content", F.lit(r"(?:get|post|put|delete|patch)\s+['\"]/")) | has("Sinatra::Base")), {"to": "endpoint", "frame": "sinatra"})],
+        [(lang("go") & has("gin.Context", "gin.H{"), {"to": pick(has("gin.Context"), "endpoint"), "frame": "gin", "to_types": ("function",)})],
+        [(lang("go") & has("echo.Context", "echo.New("), {"to": pick(has("echo.Context"), "endpoint"), "frame": "echo", "to_types": ("function",)})],
+        [(lang("go") & has("fiber.Ctx", "fiber.New("), {"to": pick(has("fiber.Ctx"), "endpoint"), "frame": "fiber", "to_types": ("function",)})],
+        [(jvm & has("@Entity", "@Table("), {"to": "model", "frame": "hibernate"})],
+        [(jvm & has('@Path("', "jakarta.ws.rs"), {"to": pick(has("@GET", "@POST"), "endpoint", "controller"), "frame": "jakarta"})],
         [
-            (lang("ruby") & (has("ApplicationController") | base("ApplicationController")), "controller", "rails"),
-            (lang("ruby") & (has("ApplicationRecord") | base("ApplicationRecord")), "model", "rails"),
-            (lang("ruby") & has("ActiveRecord::Migration"), "function", "rails"),
+            (jvm & (has("@QuarkusMain") | (has("@Path") & low("quarkus"))), {"to": "controller", "frame": "quarkus", "types": ("class", "dataclass")}),
+            (jvm & (has("@QuarkusMain") | (has("@Path") & low("quarkus"))), {"to": "endpoint", "frame": "quarkus"}),
         ],
-        [(lang("ruby") & (F.rlike("content", F.lit(r"(?:get|post|put|delete|patch)\s+['\"]/")) | has("Sinatra::Base")), "endpoint", "sinatra")],
-        [(lang("go") & has("gin.Context", "gin.H{"), F.when(kind("function") & has("gin.Context"), "endpoint"), "gin")],
-        [(lang("go") & has("echo.Context", "echo.New("), F.when(kind("function") & has("echo.Context"), "endpoint"), "echo")],
-        [(lang("go") & has("fiber.Ctx", "fiber.New("), F.when(kind("function") & has("fiber.Ctx"), "endpoint"), "fiber")],
-        [(jvm & has("@Entity", "@Table("), "model", "hibernate")],
-        [(jvm & has('@Path("', "jakarta.ws.rs"), F.when(has("@GET", "@POST"), "endpoint").otherwise("controller"), "jakarta")],
-        [(jvm & (has("@QuarkusMain") | (has("@Path") & low("quarkus"))), F.when(F.contains("type", F.lit("class")), "controller").otherwise("endpoint"), "quarkus")],
         [
-            (lang("rust") & has("#[get", "#[post", "#[put", "#[delete", "HttpRequest"), "endpoint", "actix"),
-            (lang("rust") & has("HttpResponse", "App::new()"), KEEP, "actix"),
+            (lang("rust") & has("#[get", "#[post", "#[put", "#[delete", "HttpRequest"), {"to": "endpoint", "frame": "actix"}),
+            (lang("rust") & has("HttpResponse", "App::new()"), {"frame": "actix"}),
         ],
-        [(lang("rust") & has("Router::new()", "axum::"), F.when(kind("function") & low(".route("), "endpoint"), "axum")],
-        [(lang("php") & has("#[Route('/", "AbstractController", "Symfony\\"), F.when(kind("function") & has("#[Route"), "endpoint"), "symfony")],
-        [(lang("csharp") & has("DbContext", "DbSet<", "OnModelCreating"), "model", "entity_framework")],
-        [(lang("elixir") & has("Phoenix.Controller", "Phoenix.LiveView"), F.when(has("conn |> ") | low("redirect(conn"), "controller"), "phoenix")],
-        [(kind("function", "class") & ((py & F.contains(F.lower("name"), F.lit("middleware"))) | (js & low("next()", "res.status", "req.", "req.body"))), "middleware", "middleware:default")],
+        [(lang("rust") & has("Router::new()", "axum::"), {"to": pick(low(".route("), "endpoint"), "frame": "axum", "to_types": ("function",)})],
+        [(lang("php") & has("#[Route('/", "AbstractController", "Symfony\\"), {"to": pick(has("#[Route"), "endpoint"), "frame": "symfony", "to_types": ("function",)})],
+        [(lang("csharp") & has("DbContext", "DbSet<", "OnModelCreating"), {"to": "model", "frame": "entity_framework"})],
+        [(lang("elixir") & has("Phoenix.Controller", "Phoenix.LiveView"), {"to": pick(has("conn |> ") | low("redirect(conn"), "controller"), "frame": "phoenix"})],
     ]
+    middleware = (py & F.contains(F.lower("name"), F.lit("middleware"))) | (js & low("next()", "res.status", "req.", "req.body"))
+    out = [rule(i, test, **what) for i, chain in enumerate(chains) for test, what in chain]
+    # The middleware rule retypes in any case, but names a framework only where there is none.
+    return [*out, rule(len(chains), middleware, "middleware", pick(lang("javascript"), "express", "fastapi"), types=("function", "class"), default=True)]
 
 
 def detect_frameworks(capsules: DataFrame) -> DataFrame:
     """capsules with types changed by the rules and the column framework ('' if none)."""
     df = capsules.withColumn("_deco", F.coalesce(prop("decorators"), F.lit(""))).withColumn("_base", F.coalesce(prop("hereda_de"), F.lit("")))
-    df = df.withColumn("framework", F.lit("")).withColumn("_done", F.lit(False))
-    for chain in rules():
-        new_type, new_frame, done = None, None, None
-        for cond, to, frame in chain:
-            cond = cond & ~C("_done")
-            to_type = C("type") if to is KEEP else F.lit(to) if isinstance(to, str) else F.coalesce(to, C("type"))
-            if frame is KEEP:
-                to_frame = C("framework")
-            elif frame.endswith("?"):  # only together with the new type
-                to_frame = F.when(to.isNotNull(), F.lit(frame[:-1])).otherwise(C("framework"))
-            elif frame == "middleware:default":
-                to_frame = F.when(C("framework") != "", C("framework")).otherwise(F.when(lang("javascript"), "express").otherwise("fastapi"))
-            else:
-                to_frame = F.lit(frame.rstrip("!"))
-            ends = F.lit(frame is not None and frame.endswith("!"))
-            new_type = F.when(cond, to_type) if new_type is None else new_type.when(cond, to_type)
-            new_frame = F.when(cond, to_frame) if new_frame is None else new_frame.when(cond, to_frame)
-            done = F.when(cond, ends) if done is None else done.when(cond, ends)
-        df = df.select(*[c for c in df.columns if c not in ("type", "framework", "_done")], new_type.otherwise(C("type")).alias("type"), new_frame.otherwise(C("framework")).alias("framework"), done.otherwise(C("_done")).alias("_done"))
-    return df.select(*capsules.columns, "framework")
+    start = F.struct(F.coalesce("type", F.lit("")).alias("type"), F.lit("").alias("framework"), F.lit(-1).alias("chain"), F.lit(False).alias("over"))
+
+    def step(s: Column, r: Column) -> Column:
+        fits = lambda types: (F.size(types) == 0) | F.array_contains(types, s["type"])
+        holds = ~s["over"] & r["flag"] & (s["chain"] != r["chain"]) & fits(r["types"])
+        typed = holds & (r["to"] != "") & fits(r["to_types"])
+        named = holds & (r["frame"] != "") & (~r["only"] | typed) & (~r["default"] | (s["framework"] == ""))
+        return F.struct(
+            F.when(typed, r["to"]).otherwise(s["type"]).alias("type"),
+            F.when(named, r["frame"]).otherwise(s["framework"]).alias("framework"),
+            F.when(holds, r["chain"]).otherwise(s["chain"]).alias("chain"),
+            (s["over"] | (holds & r["last"])).alias("over"),
+        )
+
+    df = df.withColumn("_end", F.aggregate(F.array(*rules()), start, step))
+    kept = [F.col("_end")["type"].alias("type") if c == "type" else F.col(c) for c in capsules.columns]
+    return df.select(*kept, F.col("_end")["framework"].alias("framework"))

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.functions.tasks import framework_mention
+from lodeseek.functions.tasks import mentioned_framework
 from lodeseek.functions.text import clip
 from lodeseek.schema import PROPERTIES, prop
 
@@ -315,7 +315,7 @@ def compress(top: DataFrame, every: DataFrame, budget: int, task: str, query_tex
         chosen = docs if has_docs else top
         return query(_placed(chosen), budget if has_docs else max(budget, 800))
     top, every = _placed(top.where("type <> 'document'")), every.where("type <> 'document'")
-    wanted = top.sparkSession.range(1).select(framework_mention(F.lit(query_text))).first()[0]
+    wanted = mentioned_framework(query_text)
     if wanted and "framework" in every.columns:
         own = (F.col("framework") == {"next": "nextjs"}.get(wanted, wanted)).cast("int")
         spot = F.row_number().over(Window.partitionBy("_own").orderBy("place"))
