@@ -46,5 +46,5 @@ def parse(path: str, text: str):
 
 def read_skills(spark: SparkSession, *roots: str) -> DataFrame:
     """Skills below the roots; a few files, one row each."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(list(roots))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(list(roots), wholetext=True)
     return files.select(parse(F.col("_metadata.file_path"), "value").alias("s")).select("s.*").orderBy(F.desc("priority"), "name")
