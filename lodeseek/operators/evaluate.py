@@ -27,30 +27,56 @@ def verdict(text: Column) -> Column:
     return F.rlike(F.upper(F.trim(text)), F.lit(r"^(SI|SÍ|YES)\b"))
 
 
-def evidence(answers: DataFrame, nodes: DataFrame, key: str, answer: str) -> DataFrame:
+#: Candidates share a name's first characters, up to so many, with the answer.
+GRAM = 5
+
+
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else key
+
+
+def evidence(answers: DataFrame, nodes: DataFrame, key: str | list[str], answer: str) -> DataFrame:
     """(key, node_id, name): nodes whose name (two letters at least) the answer holds; of equal names the last node, longest names first by place.
 
-    nodes (id, name) is the small side: the candidates of one request.
+    Names are found by an equi-join of their first characters with the answer's n-grams, and each candidate is then checked on the whole text.
+    Keys identify answers.
     """
+    keys = _keys(key)
     last = nodes.where(F.length("name") >= 2).groupBy(F.lower("name").alias("low")).agg(F.max_by(F.struct("id", "name"), "id").alias("n")).select("low", F.col("n.id").alias("node_id"), F.col("n.name").alias("name"))
-    hits = answers.select(key, F.lower(F.col(answer)).alias("_a")).join(last, F.contains(F.col("_a"), F.col("low")))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("name")), "low"))
-    return hits.select(key, "node_id", "name", place.alias("place"))
+    texts = answers.select(*keys, F.lower(F.col(answer)).alias("_a"))
+    texts = texts.withColumn("_c", F.split("_a", ""))
+    of = lambda n: F.transform("_c", lambda _, i: F.array_join(F.slice("_c", i + 1, n), ""))
+    grams = F.array_distinct(F.flatten(F.array(*[of(n) for n in range(2, GRAM + 1)])))
+    pairs = texts.select(*keys, F.explode(grams).alias("_g")).join(last.withColumn("_g", F.substring("low", 1, GRAM)), "_g").drop("_g")
+    hits = pairs.join(texts.drop("_c"), keys).where(F.contains(F.col("_a"), F.col("low")))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.length("name")), "low"))
+    return hits.select(*keys, "node_id", "name", place.alias("place"))
 
 
-def uncited(nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+def uncited(nodes: DataFrame, found: DataFrame, key: str | list[str]) -> DataFrame:
     """(key, node_id): nodes that an answer does not cite."""
-    every = found.select(key).distinct().crossJoin(nodes.select(F.col("id").alias("node_id")))
-    return every.join(found.select(key, "node_id"), [key, "node_id"], "left_anti")
+    keys = _keys(key)
+    every = found.select(*keys).distinct().crossJoin(nodes.select(F.col("id").alias("node_id")))
+    return every.join(found.select(*keys, "node_id"), [*keys, "node_id"], "left_anti")
+
+
+def uncited_counts(nodes: DataFrame, found: DataFrame, key: str | list[str]) -> DataFrame:
+    """(key, n): how many rows uncited has for each answer, as all nodes less the cited ones, without making those rows."""
+    keys = _keys(key)
+    total = nodes.agg(F.count("*").alias("total"))
+    same = nodes.groupBy(F.col("id").alias("node_id")).agg(F.count("*").alias("m"))
+    cited = found.select(*keys, "node_id").distinct().join(same, "node_id", "left").groupBy(*keys).agg(F.sum(F.coalesce("m", F.lit(0))).alias("c"))
+    return cited.crossJoin(F.broadcast(total)).select(*keys, (F.col("total") - F.col("c")).alias("n")).where("n > 0")
 
 
-def grounding(found: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+def grounding(found: DataFrame, nodes: DataFrame, key: str | list[str]) -> DataFrame:
     """(key, cited, verified, score, level): cited nodes that exist over all nodes; low under 0.70."""
+    keys = _keys(key)
     total = nodes.agg(F.count("*").alias("total"))
     ok = found.join(nodes.select(F.col("id").alias("node_id"), F.lit(1).alias("real")), "node_id", "left")
-    out = ok.groupBy(key).agg(F.count("*").alias("cited"), F.count("real").alias("verified")).crossJoin(F.broadcast(total))
+    out = ok.groupBy(*keys).agg(F.count("*").alias("cited"), F.count("real").alias("verified")).crossJoin(F.broadcast(total))
     score = F.when(F.col("total") > 0, F.round(F.col("verified").cast("double") / F.col("total"), 3)).otherwise(0.0)
-    return out.select(key, "cited", "verified", score.alias("score"), F.when(score < 0.70, "low").otherwise("ok").alias("level"))
+    return out.select(*keys, "cited", "verified", score.alias("score"), F.when(score < 0.70, "low").otherwise("ok").alias("level"))
 
 
 def system_report(results: DataFrame) -> DataFrame:

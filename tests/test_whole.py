@@ -18,3 +18,17 @@ def test_requests_are_whole_texts(spark, tmp_path):
     assert row("relation_detect").relations == "HEREDA,IMPORTA"
     assert {"security", "traceback", "some_name", "name"} <= set(row("query_words").words.split())
     assert {"reviewing", "debugging"} <= {r.name for r in QUERIES["skill_match"](spark, str(tmp_path)).collect()}
+
+
+def test_evidence_over_all_parts_and_turns(spark, data):
+    """Brute force over every turn and every part."""
+    parts = [(r.p_partkey, r.p_name.split(" ")[1]) for r in spark.read.parquet(f"{data}/part.parquet").collect()]
+    turns = spark.read.parquet(f"{data}/conversations.parquet").collect()
+    last = {n.lower(): i for i, n in sorted(parts) if len(n) >= 2}
+    text = {(r.conv_id, r.turn): f"{r.text} {['a bolt', 'ring and gear', 'widget', 'none'][r.conv_id % 4]}".lower() for r in turns if r.text is not None}
+    want = {(*k, i) for k, t in text.items() for n, i in last.items() if n in t}
+    got = QUERIES["evidence"](spark, data).collect()
+    assert len(got) == len(want) and {(r.conv_id, r.turn, r.node_id) for r in got} == want
+    cited = {k: sum(w[:2] == k for w in want) for k in {w[:2] for w in want}}
+    assert {(r.conv_id, r.turn): r.n for r in QUERIES["uncited"](spark, data).collect()} == {k: len(parts) - c for k, c in cited.items()}
+    assert {(r.conv_id, r.turn): r.score for r in QUERIES["grounding"](spark, data).collect()} == {k: round(c / len(parts), 3) for k, c in cited.items()}
