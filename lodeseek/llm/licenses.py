@@ -1,17 +1,19 @@
 """Licence scan: a paragraph classifier confirmed by templates.
 
-Paragraphs are lines; a long line is cut into overlapping windows of WINDOW words. Features are word 1- to 3-grams as
+Paragraphs end at blank lines; a long one is cut into overlapping windows of WINDOW words. Features are word 1- to 3-grams as
 shares of the paragraph's n-grams, kept sparse: only n-grams of the notices below carry weights, all others count as
 one feature. A softmax regression over the licence families and an unknown class is trained on the notices, varied
 by dropping words and adding foreign ones, against paragraphs drawn from a bounded sample of the documents.
 The unknown class is calibrated on held-out paragraphs of the sample: the bar that a family's probability must clear
-is the value that at most FALSE_RATE of them reach. A prediction is confirmed when the paragraph holds at least
-CONFIRM of a template's word pairs.
+is the value that at most FALSE_RATE of them reach. Each family whose probability clears the bar in a window is predicted there.
+A family is confirmed when a passage holds at least CONFIRM of a template's word pairs, one of the pairs that the fewest families
+share among them. Templates are looked for around all windows that hold CONFIRM of one, whatever the classifier says; the best match comes
+first and takes its words, so that what two families share counts for one of them.
 
 Sample paragraphs that hold half of a notice's word pairs are no examples of the unknown class.
 
 Defined results: null and empty texts have no paragraphs and no licence; several families in a text are all
-reported, in alphabetical order; a family counts if a prediction of it is confirmed.
+reported, in alphabetical order, those of one window too; a family counts if it is confirmed.
 """
 
 from __future__ import annotations
@@ -45,6 +47,7 @@ NOTICES = {
     "proprietary": ["All rights reserved", "no part of this publication may be reproduced without prior written permission", "proprietary and confidential"],
 }
 FAMILIES = sorted(NOTICES)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def hashes(text: str) -> np.ndarray:
@@ -72,6 +75,16 @@ class Model:
         pairs = [np.unique(grams[1][0]) for _, grams in notices if len(grams[1][0])]
         self.family = np.array([k for k, grams in notices if len(grams[1][0])])
         self.pairs, self.size = np.concatenate(pairs), np.array([len(p) for p in pairs])
+        self.sets = [set(p.tolist()) for p in pairs]
+        owners: dict[int, set[int]] = {}
+        for k, own in zip(self.family.tolist(), self.sets, strict=True):
+            for x in own:
+                owners.setdefault(x, set()).add(k)
+        #: For each template its pairs that the fewest families have.
+        self.rare = [{x for x in own if len(owners[x]) == min(len(owners[z]) for z in own)} for own in self.sets]
+        self.order = np.argsort(self.pairs, kind="stable")
+        self.template = np.repeat(np.arange(len(self.size)), self.size)[self.order]
+        self.sorted = self.pairs[self.order]
 
     def sparse(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Feature counts as (paragraph, feature), and the paragraphs' numbers of n-grams."""
@@ -106,8 +119,49 @@ class Model:
         own = np.isin(self.pairs, ngrams(h, np.array([0, len(h)]))[1][0])
         return np.add.reduceat(own.astype(np.int64), np.cumsum(self.size) - self.size) / self.size
 
-    def confirmed(self, h: np.ndarray, family: int) -> bool:
-        return bool((self.overlap(h)[self.family == family] >= CONFIRM).any())
+    def near(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The windows that hold at least CONFIRM of some template's word pairs."""
+        g, win = ngrams(h, first)[1]
+        lo, hi = np.searchsorted(self.sorted, g, "left"), np.searchsorted(self.sorted, g, "right")
+        n = hi - lo
+        hit = np.flatnonzero(n)
+        n, lo, win = n[hit], lo[hit], win[hit]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        # A pair counts once in a window: `at` names the pair and its template.
+        key = np.unique(np.repeat(win, n) * len(self.sorted) + at)
+        cell, count = np.unique(key // len(self.sorted) * len(self.size) + self.template[key % len(self.sorted)], return_counts=True)
+        return np.unique(cell[count >= CONFIRM * self.size[cell % len(self.size)] - 1e-9] // len(self.size))
+
+    def matches(self, h: np.ndarray) -> list[tuple[int, int, int]]:
+        """Families that the words confirm, as (family, first word, end); the best match first, and its words serve no other."""
+        pairs: list[int | None] = ngrams(h, np.array([0, len(h)]))[1][0].tolist()
+        out = []
+        while True:
+            found = []
+            for t, own in enumerate(self.sets):
+                at = [i for i, x in enumerate(pairs) if x in own]
+                if len(at) < CONFIRM * len(own) - 1e-9:
+                    continue
+                for k, i in enumerate(at):
+                    seen: dict[int | None, int] = {}
+                    for j in at[k : k + 2 * len(own) + 2]:
+                        if j >= i + len(own) + max(2, len(own) // 2):
+                            break
+                        seen.setdefault(pairs[j], j)
+                    if len(seen) >= CONFIRM * len(own) - 1e-9 and seen.keys() & self.rare[t]:
+                        last = max(seen.values())
+                        found.append((-len(seen) / len(own), -len(seen), last - i, i, int(self.family[t]), last + 2))
+            # Matches that touch no better one; then again with the pairs that are left.
+            new = 0
+            used = bytearray(len(pairs))
+            for _, _, _, a, family, b in sorted(found):
+                if not any(used[a : b - 1]):
+                    used[a : b - 1] = b"\1" * (b - 1 - a)
+                    pairs[a : b - 1] = [None] * (b - 1 - a)
+                    out.append((family, a, b))
+                    new += 1
+            if not new:
+                return out
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -133,8 +187,11 @@ def flatten(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 
 
 def paragraphs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, starts and ends; the lines' first words; and the document of each line."""
-    cut = np.unique(np.concatenate([offs, np.flatnonzero(data == 10) + 1]))
+    """Word hashes, starts and ends; the paragraphs' first words; and the document of each paragraph."""
+    line = np.flatnonzero(data == 10)
+    seen = np.concatenate([[0], np.cumsum(~BLANK[data])])
+    blank = seen[line[1:]] == seen[line[:-1]]
+    cut = np.unique(np.concatenate([offs, line[1:][blank] + 1]))
     cut = cut[cut <= len(data)]
     if len(cut) < 2:
         z = np.zeros(0, np.int64)
@@ -143,6 +200,19 @@ def paragraphs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, starts, ends, first, np.searchsorted(offs, cut[:-1], "right") - 1
 
 
+def regions(near: np.ndarray, s: np.ndarray, e: np.ndarray, par: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of words around these windows, within their paragraphs, those that touch as one."""
+    out: list[list[int]] = []
+    for w in near.tolist():
+        p = int(par[w])
+        a, b = max(int(first[p]), int(s[w]) - STRIDE), min(int(first[p + 1]), int(e[w]) + STRIDE)
+        if out and out[-1][2] == p and a <= out[-1][1]:
+            out[-1][1] = b
+        else:
+            out.append([a, b, p])
+    return [(a, b) for a, b, _ in out]
+
+
 def train(texts: list[str]) -> Model:
     m, rng = Model(), np.random.default_rng(5)
     rest: list[np.ndarray] = []
@@ -201,13 +271,24 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             s, e, par = windows(h, first)
             if not len(s):
                 continue
-            p = softmax(m.logits(*flatten(h, s, e)))
-            fam = p[:, :-1].argmax(axis=1)
-            prob = p[np.arange(len(p)), fam]
-            for w in np.flatnonzero((prob >= m.bar) & (prob >= p[:, -1])).tolist():
-                d = int(doc[par[w]])
-                at = int(offs[i + d] - offs[i])
-                found[i + d].append({"start": int(starts[s[w]]) - at, "end": int(ends[e[w] - 1]) - at, "family": FAMILIES[fam[w]], "probability": float(prob[w]), "confirmed": m.confirmed(h[s[w] : e[w]], int(fam[w]))})
+            words = flatten(h, s, e)
+            p = softmax(m.logits(*words))
+            where = lambda k, a, b, f, prob, sure: {"start": int(starts[a]) - k, "end": int(ends[b - 1]) - k, "family": FAMILIES[f], "probability": float(prob), "confirmed": sure}
+            sure: dict[int, list[tuple[int, int]]] = {}
+            for a, b in regions(m.near(*words), s, e, par, first):
+                d = int(doc[np.searchsorted(first, a, "right") - 1])
+                for f, x, y in m.matches(h[a:b]):
+                    x, y = a + x, a + y
+                    # Windows begin in order; those that touch the match.
+                    touch = np.arange(np.searchsorted(e, x, "right"), np.searchsorted(s, y, "left"))
+                    found[i + d].append(where(int(offs[i + d] - offs[i]), x, y, f, p[touch, f].max(), True))
+                    sure.setdefault(f, []).append((x, y))
+            for w, f in np.argwhere((p[:, :-1] >= m.bar) & (p[:, :-1] >= p[:, -1:])).tolist():
+                if not any(x < e[w] and s[w] < y for x, y in sure.get(f, [])):
+                    d = int(doc[par[w]])
+                    found[i + d].append(where(int(offs[i + d] - offs[i]), int(s[w]), int(e[w]), f, p[w, f], False))
+        for x in found:
+            x.sort(key=lambda f: (f["start"], f["end"], f["family"]))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))
         names = [sorted({f["family"] for f in x if f["confirmed"]}) for x in found]
         return {"families": pa.array(names, pa.list_(pa.string())), "findings": pa.array(found, kind)}

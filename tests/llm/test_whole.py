@@ -1,0 +1,24 @@
+"""Cases where an operator did less than the whole job."""
+
+import random
+
+from lodeseek.llm import licenses
+
+
+def test_wrapped_and_double_licences(spark):
+    """Notices over several lines, and several families in one window."""
+    filler = " ".join(random.Random(1).choice(["the", "cat", "runs", "of", "day"]) for _ in range(60))
+    rows = [
+        ("This work is licensed under the GNU\nGeneral Public License, version 3", ["gpl"]),
+        (f"{filler}\nReleased under the\nMIT License\n{filler}", ["mit"]),
+        ("Licensed under the MIT license or the Apache License, Version 2.0", ["apache", "mit"]),
+        (f"{filler}\n\n# licensed under the GNU Lesser\n# General Public License\n\n{filler} Licensed under CC BY-NC 4.0.", ["cc-by-nc", "lgpl"]),
+        ("GNU Lesser General Public License as published by the Free Software Foundation", ["lgpl"]),
+        ("licensed under the GNU General Public License", []),
+        ("Released under the\n \nMIT License", []),
+        (f"{filler}\n{filler}", []),
+    ]
+    got = licenses.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.families for r in got} == {i: f for i, (_, f) in enumerate(rows)}
+    both = next(r for r in got if r.doc_id == 2).findings
+    assert [rows[2][0][f.start : f.end] for f in both if f.confirmed] == ["Licensed under the MIT license", "the Apache License, Version 2.0"]
