@@ -1,7 +1,7 @@
 """Language identification of web pages by Bayesian fusion of four kinds of evidence.
 
 1. Text: log-likelihoods of a multinomial model of byte trigrams for each language, learned from a bounded sample of
-   documents with a known language (PER_LANG whole texts each, of at most MAX_BYTES). The likelihood is tempered (TEMPER), as overlapping trigrams are not independent.
+   documents with a known language (about PER_LANG whole texts of each, of at most MAX_BYTES). The likelihood is tempered (TEMPER), as overlapping trigrams are not independent.
 2. Declared markup language: <html lang>, xml:lang or a content-language meta tag, reduced to its primary tag.
 3. Address suffix: country domains that stand for a language, and a language tag as a path step.
 4. Host prior: hosts, then registered domains, then all pages, smoothed level by level: each level's language
@@ -12,8 +12,9 @@ What a declared tag or a suffix says is trusted as far as it agrees with the tex
 is estimated over all pages and smoothed.
 
 Defined results: null html or url is no evidence of its kind; a page without any evidence gets the overall prior; ties
-go to the alphabetically first language; without training documents the languages are those declared; an empty table
-gives no rows.
+go to the alphabetically first language; the languages are those of the sample and those that pages declare or whose
+country domains they have, these with a flat text likelihood (all cells alike) if the sample has none of them; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.llm import common as C
@@ -63,10 +64,12 @@ def page_text(html: str) -> bytes:
 def training_texts(docs: DataFrame, text_col: str, lang_col: str, per_lang: int) -> tuple[list[str], list[str]]:
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.coalesce(text, F.lit("")).alias("t"), F.col(f"`{lang_col}`").alias("l")).where((F.octet_length("t") <= MAX_BYTES) & (F.octet_length("t") > 0) & F.col("l").isNotNull())
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(64).collect()}
-    # One pass: each language's texts by a hash that about per_lang of them pass, and a bound on all.
-    share = F.coalesce(*[F.when(F.col("l") == k, F.lit(per_lang / n)) for k, n in sizes.items()], F.lit(0.0))
-    taken = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share * (1 << 30)).limit(4 * per_lang * max(1, len(sizes))).collect()
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"))
+    # Each language's texts by a hash that about per_lang of them pass, and a bound on each language.
+    h = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
+    passed = rows.join(F.broadcast(sizes), "l").where(h < F.lit(per_lang) / F.col("n") * (1 << 30))
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("t")))
+    taken = passed.withColumn("place", place).where(F.col("place") <= 4 * per_lang).select("t", "l").collect()
     return [r.t for r in taken], [r.l for r in taken]
 
 
@@ -75,24 +78,24 @@ def host(url: Column) -> Column:
 
 
 def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], html_col: str) -> DataFrame:
-    """For each page the text's log-likelihoods (tempered, by language) and the declared language."""
+    """For each page the text's log-likelihoods (tempered, by language of the model), the flat one, and the declared language."""
     names, table = model
     sent = pages.sparkSession.sparkContext.broadcast(table)
 
     def work(batch: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> dict[str, object]:
         texts = batch.column(batch.schema.get_field_index("t")).to_pylist()
-        like, said = np.zeros((len(texts), len(names))), []
+        like, flat, said = np.zeros((len(texts), len(names))), np.zeros(len(texts)), []
         for i, t in enumerate(texts):
             t = t or ""
             m = MARKUP.search(t.encode())
             said.append((m[1] or m[2]).decode().lower() if m else "")
             cells = trigram_cells(np.frombuffer(page_text(t), np.uint8))
+            flat[i] = -TEMPER * len(cells) * np.log(CELLS)
             if len(cells) and len(names):
                 like[i] = TEMPER * sent.value[:, cells].sum(axis=1, dtype=np.float64)
-        flat = pa.array(like.ravel())
-        return {"like": pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(names)), flat), "said": said}
+        return {"like": pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(names)), pa.array(like.ravel())), "flat": flat, "said": said}
 
-    return C.map_text(pages, html_col, keep, work, [("like", "array<double>"), ("said", "string")], "r")
+    return C.map_text(pages, html_col, keep, work, [("like", "array<double>"), ("flat", "double"), ("said", "string")], "r")
 
 
 def language_id(
@@ -100,22 +103,22 @@ def language_id(
 ) -> DataFrame:
     """One row per page: id, language, probability, text_language, declared, suffix_language, host, host_pages."""
     model = train(*training_texts(docs, text_col, lang_col, per_lang))
-    names = model[0]
-    if not names:
-        names = sorted(set(SUFFIX_LANGUAGE.values()))
-        model = (names, np.zeros((len(names), CELLS), np.float32))
     rows = evidence(pages, model, [id_col, url_col], html_col)
     url = F.col(f"`{url_col}`")
-    rows = rows.select(F.col(f"`{id_col}`").alias("id"), host(url).alias("host"), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]*://[^/?#]+/([A-Za-z]{2})(?:[/?#]|$)", 1)).alias("step"), F.col("r")["like"].alias("like"), F.col("r")["said"].alias("said"))
+    rows = rows.select(F.col(f"`{id_col}`").alias("id"), host(url).alias("host"), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]*://[^/?#]+/([A-Za-z]{2})(?:[/?#]|$)", 1)).alias("step"), F.col("r")["like"].alias("like"), F.col("r")["flat"].alias("flat"), F.col("r")["said"].alias("said"))
     top = F.element_at(F.split("host", r"\."), -1)
     country = F.coalesce(*[F.when(top == k, v) for k, v in SUFFIX_LANGUAGE.items()], F.lit(""))
+    rows = C.settle(rows.withColumn("country", country), "page evidence")
+    named = {x for r in rows.select("said", "country").distinct().collect() for x in r if x}
+    names = sorted(named | set(model[0])) or sorted(set(SUFFIX_LANGUAGE.values()))
     langs = F.array(*[F.lit(x) for x in names])
-    rows = rows.withColumn("suffix", F.when(F.array_contains(langs, F.col("step")), F.col("step")).otherwise(country))
+    rows = rows.withColumn("like", F.array(*[F.element_at("like", model[0].index(x) + 1) if x in model[0] else F.col("flat") for x in names]))
+    rows = rows.withColumn("suffix", F.when(F.array_contains(langs, F.col("step")), F.col("step")).otherwise(F.col("country")))
     rows = rows.withColumn("domain", F.array_join(F.slice(F.reverse(F.split("host", r"\.")), 1, 2), "."))
     like = F.transform("like", lambda x: F.exp(x - F.array_max("like")))
     total = F.aggregate(like, F.lit(0.0), lambda a, x: a + x)
     rows = rows.withColumn("text_p", F.transform(like, lambda x: x / total))
-    rows = C.settle(rows.drop("like", "step"), "pages")
+    rows = C.settle(rows.drop("like", "flat", "step", "country"), "pages")
 
     # How far to trust a declared tag or a suffix: the text's probability of it, on average over all pages.
     def agreement(col: str) -> Column:
@@ -125,16 +128,18 @@ def language_id(
     trust = rows.agg(agreement("said"), agreement("suffix")).first()
 
     def fused(p: Column, priors: Column | None = None) -> Column:
-        out = []
-        for i, name in enumerate(names):
-            v = F.element_at(p, i + 1)
+        def weight(name: Column) -> Column:
+            w = F.lit(1.0)
             for col, t in (("said", trust[0]), ("suffix", trust[1])):
-                known = F.array_contains(langs, F.col(col))
                 other = (1 - t) / max(1, len(names) - 1)
-                v = v * F.when(known, F.when(F.col(col) == name, F.lit(float(t))).otherwise(F.lit(float(other)))).otherwise(F.lit(1.0))
-            out.append(v * F.element_at(priors, i + 1) if priors is not None else v)
-        s = sum(out[1:], out[0])
-        return F.array(*[F.when(s > 0, x / s).otherwise(1.0 / len(names)) for x in out])
+                w = w * F.when(F.array_contains(langs, F.col(col)), F.when(F.col(col) == name, F.lit(float(t))).otherwise(F.lit(float(other)))).otherwise(F.lit(1.0))
+            return w
+
+        v = F.zip_with(p, langs, lambda x, name: x * weight(name))
+        if priors is not None:
+            v = F.zip_with(v, priors, lambda x, y: x * y)
+        s = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+        return F.transform(v, lambda x: F.when(s > 0, x / s).otherwise(1.0 / len(names)))
 
     def counts(key: str) -> DataFrame:
         sums = [F.sum(F.element_at("p", i + 1)) for i in range(len(names))]

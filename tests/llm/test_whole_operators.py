@@ -3,6 +3,7 @@
 import random
 
 from lodeseek.llm import licenses
+from lodeseek.llm.language import language_id
 
 
 def test_wrapped_and_double_licences(spark):
@@ -22,3 +23,15 @@ def test_wrapped_and_double_licences(spark):
     assert {r.doc_id: r.families for r in got} == {i: f for i, (_, f) in enumerate(rows)}
     both = next(r for r in got if r.doc_id == 2).findings
     assert [rows[2][0][f.start : f.end] for f in both if f.confirmed] == ["Licensed under the MIT license", "the Apache License, Version 2.0"]
+
+
+def test_all_languages(spark):
+    """Over 64 languages in the documents, and languages that only pages name."""
+    codes = [a + b for a in "abcdefghi" for b in "klmnopqrst"][:70]
+    docs = spark.createDataFrame([(f"{k}zz{k} " * 40 + str(j), k) for n, k in enumerate(codes) for j in range(75 - n)] + [("z" * 20_000, "xy")], "text string, lang string")
+    page = lambda k, body: f'<html lang="{k}"><p>{body}'
+    rows = [(0, "http://h0.com/", page("", f"{codes[69]}zz{codes[69]} " * 30)), (1, "http://h1.com/", page("ja", "日本語のページ " * 30)), (2, "http://h2.com/", page("xy", "qqww vvyy " * 30)), (3, "http://h3.it/", "<p>")]
+    got = {r.page_id: r for r in language_id(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    assert [got[i].language for i in range(4)] == [codes[69], "ja", "xy", "it"]
+    alone = language_id(spark.createDataFrame(rows[1:3], "page_id long, url string, html string"), docs.limit(0)).collect()
+    assert {r.page_id: r.language for r in alone} == {1: "ja", 2: "xy"}
