@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodeseek.operators import running
 from lodeseek.operators import evaluate as E
 from lodeseek.operators import graph as G
 from lodeseek.operators import render as R
@@ -379,8 +380,8 @@ def render_dispatch(spark, d):
 
 @query("budget_prefix", "SELECT doc_id FROM (SELECT doc_id, sum(length(text)) OVER (ORDER BY doc_id) AS run FROM documents) WHERE run <= 20000")
 def budget_prefix(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", C("doc_id").alias("place"), F.length("text").alias("n")).orderBy("doc_id").limit(500)
-    return R.budget_prefix(docs, C("n"), 20000).select("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", C("doc_id").alias("place"), F.length("text").alias("n"))
+    return running.within(docs, "place", C("n"), 20000).select("doc_id")
 
 
 @query("index_stats", f"SELECT grouping, key, n, files FROM (SELECT 'all' AS grouping, '' AS key, count(*) AS n, count(DISTINCT file_path) AS files FROM {CODE_SQL} UNION ALL SELECT 'type', type, count(*), count(DISTINCT file_path) FROM {CODE_SQL} GROUP BY type UNION ALL SELECT 'language', 'python', count(*), count(DISTINCT file_path) FROM {CODE_SQL})")

@@ -32,3 +32,15 @@ def test_evidence_over_all_parts_and_turns(spark, data):
     cited = {k: sum(w[:2] == k for w in want) for k in {w[:2] for w in want}}
     assert {(r.conv_id, r.turn): r.n for r in QUERIES["uncited"](spark, data).collect()} == {k: len(parts) - c for k, c in cited.items()}
     assert {(r.conv_id, r.turn): r.score for r in QUERIES["grounding"](spark, data).collect()} == {k: round(c / len(parts), 3) for k, c in cited.items()}
+
+
+def test_budget_prefix_over_many_short_texts(spark, tmp_path):
+    """More than 500 rows fit, over several ranges of ids."""
+    rows = [(3 * i, "" if i % 2 else "x" * (i % 7)) for i in range(9000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run, want = 0, set()
+    for i, t in rows:
+        run += len(t)
+        if run <= 20000:
+            want.add(i)
+    assert len(want) > 500 and {r.doc_id for r in QUERIES["budget_prefix"](spark, str(tmp_path)).collect()} == want
