@@ -4,9 +4,11 @@ Edges are (src, dst, type); a search keeps one frontier of (seed, node) for all
 once per level, dropping what was seen, so its cost is that of the nodes reached.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.operators import running
+
 
 def names(capsules: DataFrame, last: bool = True) -> DataFrame:
     """(name, target): the capsule that a name means, the last (or first) in the order of capsules."""
@@ -62,10 +64,8 @@ def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2,
     reach = bfs(edges, known, depth).join(known, "seed")
     first = reach.groupBy("node").agg(F.min(F.struct("place", "level")).alias("f")).select(F.col("node").alias("id"), "f.place", "f.level")
     first = first.join(nodes.select("id"), "id", "left_semi")
-    # The running total is over seeds, of which a request has few.
     totals = known.select("place").distinct().join(first.groupBy("place").agg(F.count("*").alias("n")), "place", "left")
-    before = F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return first.join(totals.select("place", before.alias("before")), "place").where(F.col("before") < most).drop("before")
+    return first.join(running.within(totals, "place", F.coalesce("n", F.lit(0)), most - 1, past=True).select("place"), "place")
 
 
 def filter_by_relation(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:

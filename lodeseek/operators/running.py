@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 SPAN_BITS = 12
 
 
-def within(rows: DataFrame, place: str, cost: Column, budget: int) -> DataFrame:
-    """Rows in order of an integer place whose running cost, none of them negative, stays within the budget.
+def within(rows: DataFrame, place: str, cost: Column, budget: int, past: bool = False) -> DataFrame:
+    """Rows in order of an integer place whose running cost, none of them negative, stays within the budget; past: also the rows that follow such a total.
 
     A null cost adds nothing; before the first cost there is no total, and no row.
     """
@@ -18,4 +18,6 @@ def within(rows: DataFrame, place: str, cost: Column, budget: int) -> DataFrame:
     before = before.where(F.coalesce("_before", F.lit(0)) <= budget)
     own = F.sum("_cost").over(Window.partitionBy("_span").orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
     run = F.coalesce(F.col("_before") + F.col("_own"), F.col("_own"), F.col("_before"))
+    if past:
+        run = run - F.coalesce("_cost", F.lit(0))
     return rows.join(before, "_span").withColumn("_own", own).where(run <= budget).drop("_cost", "_span", "_before", "_own")

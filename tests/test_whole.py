@@ -44,3 +44,20 @@ def test_budget_prefix_over_many_short_texts(spark, tmp_path):
         if run <= 20000:
             want.add(i)
     assert len(want) > 500 and {r.doc_id for r in QUERIES["budget_prefix"](spark, str(tmp_path)).collect()} == want
+
+
+def test_search_from_all_seeds(spark, data):
+    """Every order starts a search, and the expansion goes on to 200 nodes."""
+    orders = {f"o{r.o_orderkey}" for r in spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey").collect()}
+    assert {r.seed for r in QUERIES["bfs_levels"](spark, data).where("level = 0").collect()} == orders
+    nations = {r.c_custkey: r.c_nationkey for r in spark.read.parquet(f"{data}/customer.parquet").collect()}
+    regions = {r.n_nationkey: r.n_regionkey for r in spark.read.parquet(f"{data}/nation.parquet").collect()}
+    seen, want = set(), {}
+    for k in sorted(nations):
+        if len(seen) >= 200:
+            break
+        for level, node in enumerate((f"c{k}", f"n{nations[k]}", f"r{regions[nations[k]]}")):
+            if node not in seen:
+                seen.add(node)
+                want[node] = (k, level)
+    assert {r.id: (r.place, r.level) for r in QUERIES["expand_seeds"](spark, data).collect()} == want
