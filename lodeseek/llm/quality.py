@@ -28,16 +28,18 @@ EPOCHS, BATCH, RATE = 14, 40, 0.01
 STEPS = 560
 
 
-def padded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes with WIDTH zeros after each text, the chunks' first positions, and each text's first chunk."""
+def padded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with WIDTH zeros after each text, the positions past a text's last response, the chunks' first positions, and each text's first chunk."""
     n = len(offs) - 1
     size = np.diff(offs)
     out = np.zeros(len(data) + WIDTH * n, np.uint8)
     out[np.arange(len(data)) + np.repeat(np.arange(n) * WIDTH, size)] = data
+    over = np.zeros(len(out), bool)
+    over[((offs[1:] + np.arange(n) * WIDTH)[:, None] + np.arange(1, WIDTH)).ravel()] = True
     chunks = np.maximum(1, -(-size // STRIDE))
     first = np.concatenate([[0], np.cumsum(chunks)])
     at = (np.arange(first[-1]) - np.repeat(first[:-1], chunks)) * STRIDE + np.repeat(offs[:-1] + np.arange(n) * WIDTH, chunks)
-    return out, at, first
+    return out, over, at, first
 
 
 class ByteNet:
@@ -56,18 +58,20 @@ class ByteNet:
         one = np.einsum("be,wef->wbf", self.emb, self.taps)
         return np.stack([(one[w][:, None, :] + one[w + 1][None, :, :]).reshape(65536, FILTERS) for w in range(0, WIDTH, 2)])
 
-    def responses(self, x: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    def responses(self, x: np.ndarray, over: np.ndarray, tables: np.ndarray) -> np.ndarray:
         two = (x[:-1].astype(np.uint16) << np.uint16(8)) | x[1:]
         n = len(x) - WIDTH + 1
         z = tables[0][two[:n]]
         for k in range(1, WIDTH // 2):
             z += tables[k][two[2 * k : 2 * k + n]]
+        # A text's responses end with the one that reads zeros only; those after it would read the next text.
+        z[np.flatnonzero(over[: len(z)])] = -np.inf
         return z
 
     def features(self, data: np.ndarray, offs: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """Mean and maximum of the pooled responses for each text."""
-        x, at, first = padded(data, offs)
-        pooled = np.maximum(np.maximum.reduceat(self.responses(x, tables), at, axis=0) + self.bias, 0)
+        x, over, at, first = padded(data, offs)
+        pooled = np.maximum(np.maximum.reduceat(self.responses(x, over, tables), at, axis=0) + self.bias, 0)
         count = np.diff(first)[:, None]
         return np.hstack([np.add.reduceat(pooled, first[:-1], axis=0) / count, np.maximum.reduceat(pooled, first[:-1], axis=0)])
 
@@ -75,8 +79,8 @@ class ByteNet:
         return C.sigmoid(self.features(data, offs, tables).astype(np.float64) @ self.out + self.const[0])
 
     def gradients(self, data: np.ndarray, offs: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
-        x, at, first = padded(data, offs)
-        z = self.responses(x, self.tables())
+        x, over, at, first = padded(data, offs)
+        z = self.responses(x, over, self.tables())
         pooled = np.empty((len(at), FILTERS), np.float32)
         arg = np.empty((len(at), FILTERS), np.int64)
         ends = np.append(at[1:], len(z))

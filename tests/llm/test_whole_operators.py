@@ -2,7 +2,9 @@
 
 import random
 
-from lodeseek.llm import licenses
+import numpy as np
+
+from lodeseek.llm import licenses, quality
 from lodeseek.llm.language import language_id
 
 
@@ -35,3 +37,14 @@ def test_all_languages(spark):
     assert [got[i].language for i in range(4)] == [codes[69], "ja", "xy", "it"]
     alone = language_id(spark.createDataFrame(rows[1:3], "page_id long, url string, html string"), docs.limit(0)).collect()
     assert {r.page_id: r.language for r in alone} == {1: "ja", 2: "xy"}
+
+
+def test_quality_score_alone_and_in_a_batch():
+    """What follows a text in its slice does not count."""
+    net = quality.ByteNet()
+    net.out += np.float32(0.3)
+    texts = [b"", b"\xff\xfe~~~", b"", b"abc", b"", b"zzzzzz" * 50, b"", b"q" * 128, b"~~~~~"]
+    score = lambda t: net.score(np.frombuffer(b"".join(t), np.uint8), np.cumsum([0, *map(len, t)]), net.tables())
+    for _ in range(2):
+        assert np.allclose(score(texts), [score([t])[0] for t in texts], rtol=1e-6, atol=0)
+        texts.reverse()
