@@ -13,7 +13,6 @@ from lodeseek.operators.extract_common import capsule, rows_to_frame
 from lodeseek.operators.extract_python import _stem
 from lodeseek.schema import CAPSULE
 
-COMMENT, KEYWORD = G.by_language(G.COMMENT), G.by_language(G.KEYWORD)
 COMPILED = {lang: {k: re.compile(p, re.M) for k, p in kinds.items()} for lang, kinds in G.PATTERNS.items()}
 MOST, MARK = 3000, "\n# ... [truncado]"
 
@@ -34,11 +33,11 @@ def block_end(lines: list[str], start: int, language: str) -> int:
     n = len(lines)
     if not 1 <= start <= n:
         return min(start + 10, n)
-    if language in G.BRACES.split():
+    if language in G.BRACES:
         return _first_zero(lines, start - 1, "{", "}", False) or min(start + 20, n)
     if language == "sql":
         return _first_zero(lines, start - 1, "BEGIN", "END", True) or min(start + 30, n)
-    if language in G.END_WORD.split():
+    if language in G.END_WORD:
         for i in range(start, n):
             line = lines[i].strip()
             if line == "end":
@@ -60,7 +59,7 @@ def signature(language: str, kind: str, name: str, params: str) -> str:
         return f"{kind} {name}"
     if kind in G.IMPORT_KINDS:
         return f"import {name}"
-    return f"{KEYWORD.get(language, 'def')} {name}({params if len(params) <= 120 else params[:117] + '...'})"
+    return f"{G.KEYWORD.get(language, 'def')} {name}({params if len(params) <= 120 else params[:117] + '...'})"
 
 
 def _clip(text: str) -> str:
@@ -88,7 +87,7 @@ def extract(path: str, text: str, language: str) -> list[dict]:
     for kind, pattern in kinds.items():
         for m in pattern.finditer(text):
             at = bisect_right(starts, m.start())
-            if at in taken and kind not in ("import", "require", "include", "using") or lines[at - 1].strip().startswith(COMMENT.get(language, "//")):
+            if at in taken and kind not in ("import", "require", "include", "using") or lines[at - 1].strip().startswith(G.COMMENT.get(language, "//")):
                 continue
             taken.add(at)
             groups = m.groups()
@@ -117,8 +116,12 @@ def generic_capsules(files: DataFrame) -> DataFrame:
 # Column forms, without Python workers.
 
 
+def _by_language(table: dict[str, str], language: Column, other: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), language), F.lit(other))
+
+
 def is_comment(line: Column, language: Column) -> Column:
-    mark = F.coalesce(*[F.when(language.isin(v.split()), k) for k, v in G.COMMENT.items()], F.lit("//"))
+    mark = _by_language(G.COMMENT, language, "//")
     return F.startswith(F.trim(line), mark)
 
 
@@ -129,7 +132,7 @@ def call_names(text: Column, pattern: str = G.OTHER_CALLS) -> Column:
 
 
 def signatures(language: Column, kind: Column, name: Column, params: Column) -> Column:
-    word = F.coalesce(*[F.when(language.isin(v.split()), k) for k, v in G.KEYWORD.items()], F.lit("def"))
+    word = _by_language(G.KEYWORD, language, "def")
     fit = F.when(F.length(params) > 120, F.concat(F.substring(params, 1, 117), F.lit("..."))).otherwise(params)
     plain = F.concat(word, F.lit(" "), name, F.lit("("), fit, F.lit(")"))
     return F.when(kind.isin("class", "struct", "enum"), F.concat(kind, F.lit(" "), name)).when(kind.isin(G.IMPORT_KINDS), F.concat(F.lit("import "), name)).otherwise(plain)

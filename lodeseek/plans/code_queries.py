@@ -174,11 +174,10 @@ def key_nodes(spark, d):
 
 
 def seeds(spark, d):
-    """All orders; REACH still takes one of 500 (see README.md, Open)."""
     return table(spark, d, "orders").select(_s("o", "o_orderkey").alias("seed"))
 
 
-REACH = f"""r(seed, node, level) AS (SELECT 'o' || o_orderkey, 'o' || o_orderkey, 0 FROM orders WHERE o_orderkey % 500 = 0 UNION ALL SELECT r.seed, e.dst, r.level + 1 FROM r JOIN {KEYS_SQL} e ON r.node = e.src WHERE r.level < 3)"""
+REACH = f"""r(seed, node, level) AS (SELECT 'o' || o_orderkey, 'o' || o_orderkey, 0 FROM orders UNION ALL SELECT r.seed, e.dst, r.level + 1 FROM r JOIN {KEYS_SQL} e ON r.node = e.src WHERE r.level < 3)"""
 
 
 @query("bfs_levels", f"WITH RECURSIVE {REACH} SELECT seed, node, min(level) AS level FROM r GROUP BY seed, node")
@@ -198,11 +197,11 @@ def bfs_edges(spark, d):
 
 @query(
     "expand_seeds",
-    f"""WITH RECURSIVE r(seed, node, level) AS (SELECT 'c' || c_custkey, 'c' || c_custkey, 0 FROM customer WHERE c_custkey % 40 = 0 UNION ALL SELECT r.seed, e.dst, r.level + 1 FROM r JOIN {KEYS_SQL} e ON r.node = e.src WHERE r.level < 2),
+    f"""WITH RECURSIVE r(seed, node, level) AS (SELECT 'c' || c_custkey, 'c' || c_custkey, 0 FROM customer UNION ALL SELECT r.seed, e.dst, r.level + 1 FROM r JOIN {KEYS_SQL} e ON r.node = e.src WHERE r.level < 2),
         f AS (SELECT node AS id, min(CAST(substr(seed, 2) AS BIGINT) * 10 + level) AS f FROM r GROUP BY node),
         g AS (SELECT id, f // 10 AS place, CAST(f % 10 AS INT) AS level FROM f WHERE id IN (SELECT id FROM {NODES_SQL})),
         t AS (SELECT place, sum(n) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT place, count(*) AS n FROM g GROUP BY place))
-        SELECT id, place, level FROM g JOIN t USING (place) WHERE coalesce(before, 0) < 8""",
+        SELECT id, place, level FROM g JOIN t USING (place) WHERE coalesce(before, 0) < 200""",
 )
 def expand_seeds(spark, d):
     s = table(spark, d, "customer").select(_s("c", "c_custkey").alias("seed"), C("c_custkey").alias("place"))
@@ -411,8 +410,8 @@ def criteria_score(spark, d):
     return docs.select("doc_id", E.criteria_score(C("text"), F.array(*[F.lit(c) for c in CRITERIA])).alias("score"))
 
 
-NAMED = "(SELECT p_partkey AS id, split_part(p_name, ' ', 2) AS name FROM part WHERE p_partkey < 40)"
-EVI_SQL = f"""(SELECT conv_id, node_id, name, row_number() OVER (PARTITION BY conv_id ORDER BY length(name) DESC, low) AS place FROM (SELECT conv_id, lower(text) || ' ' || ['a bolt','ring and gear','widget','none'][conv_id % 4 + 1] AS a FROM conversations WHERE turn = 0),
+NAMED = "(SELECT p_partkey AS id, split_part(p_name, ' ', 2) AS name FROM part)"
+EVI_SQL = f"""(SELECT conv_id, turn, node_id, name, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(name) DESC, low) AS place FROM (SELECT conv_id, turn, lower(text) || ' ' || ['a bolt','ring and gear','widget','none'][conv_id % 4 + 1] AS a FROM conversations),
     (SELECT lower(name) AS low, max(id) AS node_id, max_by(name, id) AS name FROM {NAMED} WHERE length(name) >= 2 GROUP BY 1) WHERE contains(a, low))"""
 
 
@@ -420,7 +419,6 @@ ANSWER = ["conv_id", "turn"]
 
 
 def _evidence(spark, d):
-    """All turns against all parts; the SQL still takes the first turns and 40 parts (see README.md, Open)."""
     nodes = table(spark, d, "part").select(C("p_partkey").alias("id"), F.element_at(F.split("p_name", " "), 2).alias("name"))
     extra = F.element_at(F.array(*[F.lit(x) for x in ("a bolt", "ring and gear", "widget", "none")]), (C("conv_id") % 4 + 1).cast("int"))
     answers = table(spark, d, "conversations").select(*ANSWER, F.concat("text", F.lit(" "), extra).alias("answer"))
@@ -432,13 +430,13 @@ def evidence(spark, d):
     return _evidence(spark, d)[0]
 
 
-@query("uncited", f"SELECT c.conv_id, count(*) AS n FROM (SELECT DISTINCT conv_id FROM {EVI_SQL}) c, {NAMED} n WHERE (c.conv_id, n.id) NOT IN (SELECT (conv_id, node_id) FROM {EVI_SQL}) GROUP BY c.conv_id")
+@query("uncited", f"SELECT conv_id, turn, (SELECT count(*) FROM {NAMED}) - count(DISTINCT node_id) AS n FROM {EVI_SQL} GROUP BY conv_id, turn HAVING n > 0")
 def uncited(spark, d):
     found, nodes = _evidence(spark, d)
     return E.uncited_counts(nodes, found, ANSWER)
 
 
-@query("grounding", f"SELECT conv_id, count(*) AS cited, count(*) AS verified, round(count(*)::DOUBLE / (SELECT count(*) FROM {NAMED}), 3) AS score, CASE WHEN round(count(*)::DOUBLE / (SELECT count(*) FROM {NAMED}), 3) < 0.70 THEN 'low' ELSE 'ok' END AS level FROM {EVI_SQL} GROUP BY conv_id")
+@query("grounding", f"SELECT conv_id, turn, count(*) AS cited, count(*) AS verified, round(count(*)::DOUBLE / (SELECT count(*) FROM {NAMED}), 3) AS score, CASE WHEN round(count(*)::DOUBLE / (SELECT count(*) FROM {NAMED}), 3) < 0.70 THEN 'low' ELSE 'ok' END AS level FROM {EVI_SQL} GROUP BY conv_id, turn")
 def grounding(spark, d):
     found, nodes = _evidence(spark, d)
     return E.grounding(found, nodes, ANSWER)

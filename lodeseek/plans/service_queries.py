@@ -145,9 +145,47 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.expr("variant_get(parse_json(props), '$.k', 'bigint')").alias("k"))
 
 
-MODEL_ROWS = ", ".join(f"({p}, '{m}', '{v}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE, {w}, '{t}')" for p, m, v, a, b, c, e, w, t in V.model_rows())
-MODELS_SQL = f"(SELECT * FROM (VALUES {MODEL_ROWS}) AS m(pos, model, provider, ci, co, cr, cw, win, tier))"
-N_MODELS = len(V.model_rows())
+# Written out here as SQL, so that the values of the catalogue are stated twice.
+MODELS_SQL = """(SELECT pos, model, provider, ci::DOUBLE AS ci, co::DOUBLE AS co, cr::DOUBLE AS cr, cw::DOUBLE AS cw, win, tier FROM (VALUES
+    (0, 'anthropic/claude-opus-4', 'anthropic', 15.0, 75.0, 1.5, 7.5, 200000, 'premium'),
+    (1, 'anthropic/claude-sonnet-4', 'anthropic', 3.0, 15.0, 0.3, 7.5, 200000, 'medium'),
+    (2, 'anthropic/claude-haiku-4', 'anthropic', 0.8, 4.0, 0.08, 2.0, 200000, 'budget'),
+    (3, 'openai/gpt-5.5', 'openai', 5.0, 40.0, 2.5, 10.0, 256000, 'premium'),
+    (4, 'openai/gpt-5-mini', 'openai', 1.0, 8.0, 0.5, 2.0, 256000, 'budget'),
+    (5, 'openai/gpt-4o', 'openai', 2.5, 10.0, 1.25, 5.0, 128000, 'medium'),
+    (6, 'deepseek/deepseek-v4-pro', 'openai', 1.74, 3.48, 0.14, 0.14, 1048576, 'premium'),
+    (7, 'deepseek/deepseek-v4-flash', 'openai', 0.14, 0.28, 0.014, 0.014, 1048576, 'budget'),
+    (8, 'deepseek/deepseek-chat', 'openai', 0.29, 0.43, 0.0, 0.0, 65536, 'budget'),
+    (9, 'deepseek/deepseek-reasoner', 'openai', 0.55, 2.19, 0.0, 0.0, 65536, 'medium'),
+    (10, 'openrouter/anthropic/claude-sonnet-4', 'openrouter', 3.0, 15.0, 0.0, 0.0, 200000, 'medium'),
+    (11, 'openrouter/openai/gpt-4o', 'openrouter', 2.5, 10.0, 0.0, 0.0, 128000, 'medium'),
+    (12, 'openrouter/google/gemini-2.5-flash', 'openrouter', 0.15, 0.6, 0.0, 0.0, 1048576, 'free'),
+    (13, 'openrouter/meta-llama/llama-4-maverick', 'openrouter', 0.2, 0.8, 0.0, 0.0, 256000, 'free'),
+    (14, 'google/gemini-2.5-pro', 'google', 1.25, 10.0, 0.0, 0.0, 1048576, 'premium'),
+    (15, 'google/gemini-2.5-flash', 'google', 0.15, 0.6, 0.0, 0.0, 1048576, 'free'),
+    (16, 'mistral/mistral-large', 'mistral', 2.0, 6.0, 0.0, 0.0, 128000, 'medium'),
+    (17, 'mistral/mistral-small', 'mistral', 0.2, 0.6, 0.0, 0.0, 32000, 'budget'),
+    (18, 'mistral/codestral', 'mistral', 1.0, 3.0, 0.0, 0.0, 256000, 'medium'),
+    (19, 'ollama/qwen2.5-coder:7b', 'ollama', 0.0, 0.0, 0.0, 0.0, 32768, 'free'),
+    (20, 'ollama/qwen2.5-coder:14b', 'ollama', 0.0, 0.0, 0.0, 0.0, 32768, 'free'),
+    (21, 'ollama/qwen2.5-coder:32b', 'ollama', 0.0, 0.0, 0.0, 0.0, 32768, 'free'),
+    (22, 'ollama/deepseek-coder-v2', 'ollama', 0.0, 0.0, 0.0, 0.0, 32768, 'free'),
+    (23, 'ollama/llama3.1:8b', 'ollama', 0.0, 0.0, 0.0, 0.0, 131072, 'free'),
+    (24, 'groq/llama-4-scout-17b-16e-instruct', 'groq', 0.1, 0.4, 0.0, 0.0, 131072, 'free'),
+    (25, 'groq/llama-4-maverick-17b-128e-instruct', 'groq', 0.2, 0.6, 0.0, 0.0, 131072, 'budget'),
+    (26, 'groq/deepseek-r1-distill-llama-70b', 'groq', 0.75, 0.99, 0.0, 0.0, 131072, 'medium'),
+    (27, 'cohere/command-r-plus', 'cohere', 2.5, 10.0, 0.0, 0.0, 128000, 'medium'),
+    (28, 'cohere/command-r', 'cohere', 0.5, 1.5, 0.0, 0.0, 128000, 'budget'),
+    (29, 'together/meta-llama/Llama-4-Maverick-17B-128E-Instruct-FP8', 'together', 0.2, 0.6, 0.0, 0.0, 131072, 'budget'),
+    (30, 'together/Qwen/Qwen3-Coder-480B-A35B-Instruct', 'together', 1.2, 2.5, 0.0, 0.0, 32768, 'medium'),
+    (31, 'together/deepseek-ai/DeepSeek-V3', 'together', 1.25, 1.25, 0.0, 0.0, 65536, 'medium'),
+    (32, 'bedrock/anthropic.claude-sonnet-4-20250514-v1:0', 'bedrock', 3.0, 15.0, 0.0, 0.0, 200000, 'medium'),
+    (33, 'bedrock/anthropic.claude-opus-4-20250514-v1:0', 'bedrock', 15.0, 75.0, 0.0, 0.0, 200000, 'premium'),
+    (34, 'bedrock/meta.llama4-maverick-17b-instruct-v1:0', 'bedrock', 0.3, 0.6, 0.0, 0.0, 131072, 'budget'),
+    (35, 'azure/gpt-4o', 'azure', 2.5, 10.0, 0.0, 0.0, 128000, 'medium'),
+    (36, 'azure/gpt-4o-mini', 'azure', 0.15, 0.6, 0.0, 0.0, 128000, 'budget')
+    ) AS m(pos, model, provider, ci, co, cr, cw, win, tier))"""
+N_MODELS = 37
 
 
 @query("list_models", f"SELECT model, provider, win AS context_window, tier FROM {MODELS_SQL}")
@@ -166,7 +204,7 @@ def list_providers(spark, d):
         event_id % 1000 AS i, user_id AS o, event_id % 7 AS r, event_id % 3 AS w FROM events) u LEFT JOIN {MODELS_SQL} m USING (model) GROUP BY model""",
 )
 def cost_estimate(spark, d):
-    names = F.array(*[F.lit(r[1]) for r in V.model_rows()])
+    names = F.array(*[F.lit(r[0]) for r in V.MODELS])
     pick = F.when(C("event_id") % 50 == 49, "unknown").otherwise(F.element_at(names, (C("event_id") % N_MODELS + 1).cast("int")))
     u = table(spark, d, "events").select(pick.alias("model"), (C("event_id") % 1000).alias("input_tokens"), C("user_id").alias("output_tokens"), (C("event_id") % 7).alias("cache_read"), (C("event_id") % 3).alias("cache_write"))
     return V.cost(u, V.models(spark)).groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("cost") * 1e6, 2).alias("micro_usd"))

@@ -133,8 +133,7 @@ def clip_text(spark, d):
     return table(spark, d, "documents").select("doc_id", clip(C("text")).alias("short"), half.alias("half"), quarter.alias("quarter"))
 
 
-# Requests: whole conversation texts with signal words mixed in, so that every class occurs. REQ_SQL still cuts the
-# texts to 80 characters (see README.md, Open).
+# Requests: whole conversation texts with signal words mixed in, so that every class occurs.
 ASKS = [s for v in K.TASK_SIGNALS.values() for s in v[:6]] + ["", "fastapi", "login page", "snake_case_name", "camelCase", "rediseñar", "imports usa hereda", "spring boot", "next.js", "summarize"]
 
 
@@ -144,7 +143,7 @@ def requests(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.element_at(ask, i), F.lit(" "), C("text")).alias("q"))
 
 
-REQ_SQL = f"SELECT conv_id, turn, [{quoted(ASKS)}][(conv_id * 7 + turn) % {len(ASKS)} + 1] || ' ' || substr(text, 1, 80) AS q FROM conversations"
+REQ_SQL = f"SELECT conv_id, turn, [{quoted(ASKS)}][(conv_id * 7 + turn) % {len(ASKS)} + 1] || ' ' || text AS q FROM conversations"
 NEEDS_SQL = f"({any_sql('lower(q)', K.CODE_SIGNALS)} OR regexp_matches(q, '[\\p{{L}}\\p{{N}}_]+_[\\p{{L}}\\p{{N}}_]+') OR regexp_matches(q, '{K.CAMEL}'))"
 TASK_SQL = f"""SELECT conv_id, turn, q, CASE WHEN list_max(n) > 0 THEN [{quoted(K.TASK_SIGNALS)}][list_position(n, list_max(n))] WHEN {NEEDS_SQL} THEN 'code_query' ELSE 'no_code' END AS task
     FROM (SELECT *, [{', '.join(f"({count_sql('lower(q)', v)})" for v in K.TASK_SIGNALS.values())}] AS n FROM ({REQ_SQL}))"""
@@ -431,16 +430,20 @@ def css_structure(spark, d):
 CODE = """concat(CASE WHEN p_partkey % 2 = 0 THEN '// part ' ELSE '# part ' END, p_name, chr(10), 'function make', p_partkey, '(a) {', chr(10), '  if (a) { return call_', p_partkey % 9, '(a); }', chr(10), '  print(x); other(a)', chr(10), '}', chr(10), 'export const z', p_partkey, ' = 1')"""
 
 
-@query("call_names", f"""SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(c, '([\\p{{L}}\\p{{N}}_]+)\\s*\\(', 1)), lambda x: length(x) >= 2 AND NOT list_contains([{quoted(X.G.NO_CALL)}], x)))[1:10], ',') AS calls FROM (SELECT p_partkey, {CODE} AS c FROM part)""")
+@query("call_names", f"""SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(c, '([\\p{{L}}\\p{{N}}_]+)\\s*\\(', 1)), lambda x: length(x) >= 2 AND NOT list_contains(['if', 'for', 'while', 'switch', 'return', 'new', 'throw', 'catch', 'else', 'case', 'default', 'import', 'require', 'print', 'fmt', 'log', 'super', 'this', 'self', 'sizeof', 'typeof', 'void', 'println'], x)))[1:10], ',') AS calls FROM (SELECT p_partkey, {CODE} AS c FROM part)""")
 def call_names(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(X.call_names(F.expr(CODE)), ",").alias("calls"))
 
 
 LANGS = list(X.G.PATTERNS)
+# Written out here, so that the values are stated twice.
+MARK_SQL = "CASE WHEN lang IN ('julia', 'ruby', 'perl', 'r', 'shell', 'elixir') THEN '#' WHEN lang IN ('sql', 'haskell', 'lua') THEN '--' ELSE '//' END"
+WORD_SQL = """CASE WHEN lang IN ('javascript', 'typescript', 'php', 'lua', 'r', 'julia', 'shell') THEN 'function' WHEN lang IN ('go', 'c', 'cpp', 'swift', 'dart', 'haskell') THEN 'func'
+    WHEN lang = 'rust' THEN 'fn' WHEN lang = 'kotlin' THEN 'fun' WHEN lang = 'perl' THEN 'sub' WHEN lang = 'sql' THEN 'FUNCTION' ELSE 'def' END"""
 
 
 @query("comment_lines", f"""WITH l AS (SELECT p_partkey, lang, unnest(string_split(c, chr(10))) AS line, generate_subscripts(string_split(c, chr(10)), 1) AS line_no FROM (SELECT p_partkey, [{quoted(LANGS)}][p_partkey % {len(LANGS)} + 1] AS lang, {CODE} AS c FROM part))
-    SELECT p_partkey, line_no FROM l WHERE starts_with(trim(line), CASE {' '.join(f"WHEN lang IN ({quoted(v.split())}) THEN '{k}'" for k, v in X.G.COMMENT.items())} ELSE '//' END)""")
+    SELECT p_partkey, line_no FROM l WHERE starts_with(trim(line), {MARK_SQL})""")
 def comment_lines(spark, d):
     lang = F.element_at(F.array(*[F.lit(x) for x in LANGS]), (C("p_partkey") % len(LANGS) + 1).cast("int"))
     lines = table(spark, d, "part").select("p_partkey", lang.alias("lang"), F.posexplode(F.split(F.expr(CODE), "\n")).alias("pos", "line"))
@@ -452,7 +455,7 @@ KINDS = ["class", "struct", "enum", "import", "function", "method"]
 
 @query("signatures", f"""WITH s AS (SELECT p_partkey, [{quoted(LANGS)}][p_partkey % {len(LANGS)} + 1] AS lang, [{quoted(KINDS)}][p_partkey % {len(KINDS)} + 1] AS k, 'n' || p_partkey AS name, repeat('ab ', (p_partkey % 60)::INT) AS pr FROM part)
     SELECT p_partkey, CASE WHEN k IN ('class', 'struct', 'enum') THEN k || ' ' || name WHEN k = 'import' THEN 'import ' || name
-    ELSE CASE {' '.join(f"WHEN lang IN ({quoted(v.split())}) THEN '{k}'" for k, v in X.G.KEYWORD.items())} ELSE 'def' END || ' ' || name || '(' || CASE WHEN length(pr) > 120 THEN substr(pr, 1, 117) || '...' ELSE pr END || ')' END AS signature FROM s""")
+    ELSE {WORD_SQL} || ' ' || name || '(' || CASE WHEN length(pr) > 120 THEN substr(pr, 1, 117) || '...' ELSE pr END || ')' END AS signature FROM s""")
 def signatures(spark, d):
     k = C("p_partkey")
     pick = lambda v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % len(v) + 1).cast("int"))
