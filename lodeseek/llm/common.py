@@ -8,6 +8,7 @@ once per word in Python. Batches are cut at document borders into slices, which
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -183,10 +184,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it, a local master (tests) uses a folder of
+    this machine, and a cluster is an error, as its executors could not read what others wrote."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     if not hasattr(shared_dir, "local"):
         shared_dir.local = tempfile.mkdtemp(prefix="lodeseek-")
     return f"file://{shared_dir.local}"
@@ -201,14 +206,23 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Remove the tables that settle() has written in this session: for long sessions, once the results are stored."""
+    rest = []
+    for own, path in _written:
+        if own is not spark:
+            rest.append((own, path))
+            continue
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written[:] = rest
+
+
 @atexit.register
 def _remove() -> None:
-    for spark, path in _written:
-        try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone; the folder's owner cleans it then
-            return
+    for spark in {id(s): s for s, _ in _written}.values():
+        with contextlib.suppress(Exception):  # the session may be gone; the folder's owner cleans it then
+            forget(spark)
 
 
 def ascii_lower(col: Column) -> Column:
@@ -224,17 +238,22 @@ def total_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
 
 
-#: Bits of a key filter, in words of 64: 2**16 rows of 16 bytes at most, so that it can always be broadcast.
-FILTER_BITS = 1 << 22
+#: Bits of a key filter, in words of 64, at most: 2**20 rows of 16 bytes, so that it can always be broadcast.
+MOST_BITS = 1 << 26
+
 
+def filter_bits(keys: int) -> int:
+    """Bits of a filter for so many keys: 16 for each, while they fit."""
+    return min(MOST_BITS, max(1 << 16, 1 << (16 * keys).bit_length()))
 
-def key_filter(keys: DataFrame, key: Column, bits: int = FILTER_BITS) -> DataFrame:
+
+def key_filter(keys: DataFrame, key: Column, bits: int) -> DataFrame:
     """Bit set over hashes of `key`, as rows (word, mask). At most bits/64 rows, whatever keys holds."""
     h = F.pmod(F.xxhash64(key), F.lit(bits))
     return keys.select((h / 64).cast("long").alias("f_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int")).alias("m")).groupBy("f_word").agg(F.bit_or("m").alias("f_mask"))
 
 
-def mark_by_filter(df: DataFrame, key: Column, flt: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
+def mark_by_filter(df: DataFrame, key: Column, flt: DataFrame, name: str, bits: int) -> DataFrame:
     """df with a boolean column: false says that the key is surely not in the filter. No row of df is shuffled."""
     h = F.pmod(F.xxhash64(key), F.lit(bits))
     df = df.withColumn("f_h", h).withColumn("f_word", (F.col("f_h") / 64).cast("long"))
@@ -243,28 +262,70 @@ def mark_by_filter(df: DataFrame, key: Column, flt: DataFrame, name: str, bits:
     return df.withColumn(name, hit).drop("f_h", "f_word", "f_mask")
 
 
+#: A key of more than one of so many parts of all rows is hot; there are at most so many.
+HOT_PARTS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows with a struct column `group` of the other columns of their group, null where there is none.
+
+    groups has one row for each key, with the number `size` of its rows, which are `total` in all. Hot groups, at most
+    HOT_PARTS of them, are broadcast, so that no task gets all rows of one; the others are joined by a shuffle, in
+    which a row that has its group already goes by a hash of the whole row.
+    """
+    least = total // HOT_PARTS + 1
+    own = F.struct(*[c for c in groups.columns if c != key])
+    hot = groups.where(F.col(size) >= least).select(F.col(key).alias("hot_key"), own.alias("hot"))
+    cold = groups.where(F.col(size) < least).select(F.col(key).alias("cold_key"), own.alias("cold"))
+    rows_all = rows.columns
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    other = F.xxhash64(*[F.col(c) for c in rows_all]).cast(rows.schema[key].dataType) if not isinstance(rows.schema[key].dataType, T.BinaryType) else F.xxhash64(*[F.col(c) for c in rows_all]).cast("string").cast("binary")
+    out = out.withColumn("join_key", F.when(F.col("hot_key").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(other))
+    out = out.join(cold, F.col("join_key") == F.col("cold_key"), "left")
+    # A hash may meet a cold key by chance: only a row's own key counts.
+    mine = F.when(F.col("hot_key").isNotNull(), F.col("hot")).when(F.col("cold_key") == F.col(key), F.col("cold"))
+    return out.select(*[F.col(c) for c in rows_all], mine.alias("group"))
+
+
 def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """Connected components of edges (a, b): rows (node, comp), comp being the smallest node; nodes are longs.
 
     Alternates large-star and small-star, which need min-aggregations and joins only; each round is written to the
-    shared folder. Ends when a round changes nothing.
+    shared folder. A star's centre is a hot key: see join_groups. Ends when a round changes nothing.
     """
     cur = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    before, n = None, cur.count()
+    pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
     while True:
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        both = cur.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.u", "e.v")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("d"))
+        large = join_groups(both, low, "u", "d", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("group.m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        small = join_groups(large, low, "u", "d", n).select("u", "v", F.col("group.m").alias("m"))
+        small = small.select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         cur = settle(small, "edges")
-        now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
-        if now == before:
+        n, *now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if (n, now) == before:
             break
-        before = now
+        before = (n, now)
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def row_ids(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """docs and a column that tells its rows apart: the id itself if it is an integer that no row lacks or repeats.
+
+    Otherwise a copy of docs in the shared folder that has numbers of its rows in a column of its own.
+    """
+    ident = F.col(f"`{id_col}`")
+    kind = docs.schema[id_col].dataType
+    if isinstance(kind, T.IntegralType):
+        seen = docs.groupBy(ident.alias("i")).agg(F.count("*").alias("n")).where("i is null or n > 1")
+        if not seen.limit(1).count():
+            return docs, id_col
+    name = free_name(docs, "row_number")
+    return settle(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of rows with equal keys from batches sorted by these keys; a group may span batches."""
     held: list[pa.RecordBatch] = []

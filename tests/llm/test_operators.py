@@ -411,7 +411,9 @@ def test_exact_dedup(docs):
     for i, t in ROWS:
         groups[norm(t)].append((-len(t or ""), i))
     for bits in (1 << 22, 64):
-        got = {r.doc_id: r for r in exact_dedup(docs, digests=True, filter_bits=bits).collect()}
+        got = {r.doc_id: r for r in exact_dedup(docs, digests=True, most_bits=bits).collect()}
+        plain = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs, most_bits=bits).collect()}
+        assert plain == {i: (r.keep_id, r.group_size, r.kept) for i, r in got.items()}
         for i, t in ROWS:
             g = groups[norm(t)]
             keep = min(g)[1]

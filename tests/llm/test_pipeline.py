@@ -51,6 +51,23 @@ def test_stages_keep_columns_and_take_odd_rows(spark, data):
         assert out.columns == docs.columns, name
         assert out.count() <= 6 and stage(spark, docs.limit(0), data).count() == 0
     kept = P.STAGES[1][1](spark, docs, data)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "4", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "None"]
     assert P.STAGES[-1][1](spark, docs, data).count() == 6
     assert docs.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_repeated_and_missing_ids(spark, data):
+    """Rows go one by one: no text is lost that has no copy, and one row of each group stays."""
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "A  same text"), (5, "A same text"), (5, "a unique text that stands alone"), (8, "twice the same row"), (8, "twice the same row"), (None, "twice the same row"), (None, None), (None, "")]
+    near = [(9, words), (9, words + " x1"), (3, words + " x2"), (None, words + " x3"), (3, "another lone text of words that no row shares")]
+    docs = spark.createDataFrame([(i, t, "n", 1) for i, t in rows + near], "doc_id long, text string, row_number string, n long")
+    left = P.STAGES[1][1](spark, docs, data)
+    assert left.columns == docs.columns
+    want = [(1, "A  same text"), (5, "a unique text that stands alone"), (8, "twice the same row"), *near]
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert sorted(map(repr, (g for g in got if g[1]))) == sorted(map(repr, want)) and sum(not g[1] for g in got) == 1
+    after = P.STAGES[2][1](spark, left, data)
+    got = [(r.doc_id, r.text) for r in after.collect() if r.text]
+    assert after.columns == docs.columns
+    assert sorted(map(repr, got)) == sorted(map(repr, [*want[:3], (3, words + " x2"), near[-1]]))
