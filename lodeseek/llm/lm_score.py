@@ -4,15 +4,18 @@ Model. Counts of all n-grams up to ORDER in the training documents, smoothed wit
 
     P1(w)   = (c(w) + 1) / (N + V + 1)            P_o(w | h) = (c(hw) + m_o P_{o-1}(w | h')) / (c(h) + m_o)
 
-As an automaton: a state is a context h; an n-gram hw that occurs is an arc with weight log10 P_o(w | h); where there
-is none, the failure arc leads to the state of the shorter context with weight log10(m_o / (c(h) + m_o)). A text is read
-once from left to right: at each token the state's arc is taken, or failure arcs until a state has one.
+As an automaton: a state is a context h that occurs in training; an n-gram hw that occurs is an arc with weight
+log10 P_o(w | h) to the state of the longest suffix of hw; where a state has no arc for a token, its failure arc leads to
+the state of the shorter context with weight log10(m_o / (c(h) + m_o)), and the root takes any token. A text is read once from
+left to right, carrying a state: at each token the state's arc is taken, or failure arcs until a state has one.
+PRIORS are the weights m_o with the least perplexity on held-out rows (see README.md).
 
 Distribution. The model grows with the corpus, so no task holds it. Documents are dealt into blocks of about
 BLOCK_BYTES by a hash of their id. A block asks for its distinct n-grams: it sends their hashes and training counts,
 dealt into buckets by the hash's leading bits; a bucket adds up what all blocks sent and answers each block with
 the totals, in the order asked. Each block then builds the automaton of its own n-grams from the answers and runs its
-texts through it. Requests and answers are one binary row for each block and bucket, so work in the JVM does not
+texts through it; a long text is read in pieces of LANE tokens side by side, each after the order - 1 tokens before it, which
+determine the state. Requests and answers are one binary row for each block and bucket, so work in the JVM does not
 grow with the number of n-grams; the exchange of the texts is used for both passes (Spark reuses it).
 
 Hashes of n-grams have as many bits as make a false match rarer than one in a million (at least 48; words: 48 below the
@@ -37,9 +40,11 @@ from lodeseek.llm.common import from_six, six
 
 U = np.uint64
 ORDER = 3
-#: Weight of the lower order against counts, for orders 2 and 3.
-PRIORS = {2: 600.0, 3: 4.0}
+#: Weight of the lower order against counts, for orders 2 and 3: the least perplexity of held-out rows of sf0.1 (see README.md).
+PRIORS = {2: 6000.0, 3: 4.0}
 BLOCK_BYTES = 6 << 20
+#: Tokens that one lane of the automaton reads.
+LANE = 1024
 END, BEGIN = C.hash_words([b" end", b" begin"])
 
 
@@ -85,17 +90,18 @@ def unpack(high: bytes, low: bytes) -> np.ndarray:
 
 
 class Layout:
-    """How hashes are cut: the leading bits choose the bucket, `kept` bits below them are the key."""
+    """How hashes are cut: the leading bits choose the bucket, `kept` bits below them are the key (words: `word`)."""
 
     def __init__(self, n_bytes: int, order: int):
         tokens = max(1, n_bytes // 4)
         self.order = order
-        self.bucket_bits = min(16, max(6, math.ceil(math.log2(max(1, n_bytes / (8 << 20))))))
+        self.bucket_bits = min(24, max(6, math.ceil(math.log2(max(1, n_bytes / (8 << 20))))))
         self.kept = max(33, min(64, max(48, math.ceil(math.log2(tokens)) + 20)) - self.bucket_bits)
+        self.word = min(48, 64 - self.bucket_bits)
 
     def reduce(self, h: np.ndarray, o: int) -> np.ndarray:
-        """Words keep 48 bits below the bucket's."""
-        return h >> U(16 - self.bucket_bits) if o == 1 else h >> U(64 - self.bucket_bits - self.kept)
+        """Words keep 48 bits below the bucket's, or all."""
+        return h >> U(64 - self.bucket_bits - (self.word if o == 1 else self.kept))
 
 
 def block_grams(table: pa.Table, lay: Layout):
@@ -109,7 +115,7 @@ def block_grams(table: pa.Table, lay: Layout):
 
 
 def requests(lay: Layout):
-    shift = [U(48)] + [U(lay.kept)] * lay.order
+    shift = [U(lay.word)] + [U(lay.kept)] * lay.order
 
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
@@ -162,69 +168,137 @@ def vocabulary(lay: Layout):
 
     def run(table: pa.Table) -> pa.Table:
         uniq, total, _, _ = totals(table, 0)
-        if table["bucket"][0].as_py() == begin >> 48:
-            total = total[uniq != U(begin & ((1 << 48) - 1))]
+        if table["bucket"][0].as_py() == begin >> lay.word:
+            total = total[uniq != U(begin & ((1 << lay.word) - 1))]
         return pa.table({"n": pa.array([int(total.sum())]), "v": pa.array([int((total > 0).sum())])})
 
     return run
 
 
-def walk(arcs: list[np.ndarray], contexts: list[np.ndarray], n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probabilities of tokens, by add-one counts and by the automaton.
+class Automaton:
+    """States, arcs and failure arcs of a block's n-grams.
 
-    arcs[o]: for each token the count of the (o+1)-gram that ends with it; contexts[o]: the count of that n-gram's
-    context (order 1: none). All tokens are read in step: a token's state is its longest context that occurs.
+    ids[o]: for each place of the token sequence the number of the (o+1)-gram that ends there, or -1; counts[o]: the
+    training counts of these n-grams. State 0 is the root; then come the n-grams below the top order, by order.
     """
-    base = np.log10((arcs[0] + 1) / (n + v + 1))
-    p = 10.0**base
-    weight = [base]
-    for o in range(1, len(arcs)):
-        m = PRIORS.get(o + 1, 10.0)
-        p = (arcs[o] + m * p) / (contexts[o] + m)
-        weight.append(np.log10(p))
-    score = np.zeros(len(base))
-    todo = np.arange(len(base))
-    for o in range(len(arcs) - 1, 0, -1):
-        hit = arcs[o][todo] > 0
-        score[todo[hit]] += weight[o][todo[hit]]
-        todo = todo[~hit]
-        m = PRIORS.get(o + 1, 10.0)
-        score[todo] += np.log10(m / (contexts[o][todo] + m))
-    score[todo] += base[todo]
-    return base, score
-
-
-def scores(lay: Layout):
+
+    def __init__(self, ids: list[np.ndarray], counts: list[np.ndarray], n: int, v: int, priors: dict[int, float]):
+        order = len(ids)
+        self.base = np.concatenate([[1], 1 + np.cumsum([len(c) for c in counts[:-1]])]).astype(np.int64)
+        self.symbols = len(counts[0])
+        self.unknown = float(np.log10(1 / (n + v + 1)))
+        self.fail = np.zeros(self.base[-1], np.int64)
+        self.loss = np.zeros(self.base[-1])
+        p = (counts[0] + 1) / (n + v + 1)
+        #: The root's arcs, by token: weight and target.
+        self.root_weight = np.log10(p)
+        self.root_to = np.where(counts[0] > 0, self.base[0] + np.arange(self.symbols), 0) if order > 1 else np.zeros(self.symbols, np.int64)
+        keys, weights, targets = [], [], []
+        for o in range(1, order):
+            m = priors.get(o + 1, 10.0)
+            place = np.zeros(len(counts[o]), np.int64)
+            at = np.flatnonzero(ids[o] >= 0)
+            place[ids[o][at]] = at
+            context, suffix = ids[o - 1][place - 1], ids[o - 1][place]
+            p = (counts[o] + m * p[suffix]) / (counts[o - 1][context] + m)
+            arc = np.flatnonzero(counts[o] > 0)
+            keys.append((self.base[o - 1] + context[arc]) * self.symbols + ids[0][place[arc]])
+            weights.append(np.log10(p[arc]))
+            if o < order - 1:
+                mine = self.base[o] + np.arange(len(counts[o]))
+                self.fail[mine] = self.base[o - 1] + suffix
+                targets.append(mine[arc])
+            else:
+                targets.append(self.base[o - 1] + suffix[arc])
+            states = self.base[o - 1] + np.arange(len(counts[o - 1]))
+            self.loss[states] = np.log10(m / (counts[o - 1] + m))
+        keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        sort = np.argsort(keys)
+        self.keys = keys[sort]
+        self.weight = np.concatenate(weights)[sort] if weights else np.zeros(0)
+        self.to = np.concatenate(targets)[sort] if targets else np.zeros(0, np.int64)
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities of a token in each state, and the states after it."""
+        score, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        todo = np.arange(len(state))
+        cur = state
+        while len(todo):
+            root = cur == 0
+            if root.any():
+                r, t = todo[root], token[todo[root]]
+                score[r] += self.root_weight[t]
+                after[r] = self.root_to[t]
+                todo, cur = todo[~root], cur[~root]
+            if not len(todo):
+                break
+            key = cur * self.symbols + token[todo]
+            at = np.searchsorted(self.keys, key)
+            at[at == len(self.keys)] = 0
+            hit = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+            score[todo[hit]] += self.weight[at[hit]]
+            after[todo[hit]] = self.to[at[hit]]
+            todo, cur = todo[~hit], cur[~hit]
+            score[todo] += self.loss[cur]
+            cur = self.fail[cur]
+        return score, after
+
+    def read(self, tokens: np.ndarray, at: np.ndarray, begin: int) -> np.ndarray:
+        """Log-probability of each token after the first of each text (token `begin`); texts begin at `at`."""
+        order = len(self.base)
+        size = np.diff(at) - 1
+        lanes = np.maximum(1, -(-size // LANE))
+        text = np.repeat(np.arange(len(size)), lanes)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = at[:-1][text] + 1 + k * LANE
+        stop = np.minimum(start + LANE, at[1:][text])
+        state = np.zeros(len(text), np.int64)
+        if order > 1:
+            state[k == 0] = self.root_to[begin]
+            for back in range(order - 1, 0, -1):  # later lanes reach their state over the tokens before them
+                late = np.flatnonzero(k > 0)
+                state[late] = self.step(state[late], tokens[start[late] - back])[1]
+        by_size = np.argsort(start - stop, kind="stable")
+        start, stop, state = start[by_size], stop[by_size], state[by_size]
+        out = np.zeros(len(tokens))
+        size = stop - start
+        for t in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-size, -t, "left"))  # lanes with more than t tokens
+            place = start[:n] + t
+            out[place], state[:n] = self.step(state[:n], tokens[place])
+        return out
+
+
+def scores(lay: Layout, priors: dict[int, float]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = C.undeal(left, ["k", "t"])
         seq, at, orders = block_grams(left, lay)
         right = right.sort_by("bucket")
         got = right["counts"].to_pylist()
         n, v = right["n"][0].as_py(), right["v"][0].as_py()
-        real = seq != BEGIN
-        arcs, contexts, before = [], [], None
+        ids, counts = [], []
         for o, (pos, keys, inverse) in enumerate(orders):
             total = np.concatenate([np.frombuffer(zlib.decompress(g[o]), np.uint32) for g in got]).astype(np.float64)
             if len(total) != len(keys):
                 raise ValueError("the answers do not fit the block's n-grams")
-            arc = np.zeros(len(seq))
-            arc[pos] = total[inverse]
-            ctx = np.zeros(len(seq))
-            if before is not None:
-                ctx[pos] = before[pos - 1]
-            arcs.append(arc[real])
-            contexts.append(ctx[real])
-            before = arc
-        base, score = walk(arcs, contexts, n, v)
+            own = np.full(len(seq), -1, np.int64)
+            own[pos] = inverse
+            ids.append(own)
+            counts.append(total)
+        begin = int(ids[0][at[0]]) if len(at) > 1 else 0
+        score = Automaton(ids, counts, n, v, priors).read(ids[0], at, begin)
+        real = seq != BEGIN
+        known = counts[0][ids[0][real]]
+        base = np.log10((known + 1) / (n + v + 1))
         first = (at - np.arange(len(at)))[:-1]  # without the BEGIN tokens
         add = lambda x: np.add.reduceat(x, first) if len(first) else x[:0]
         size = np.diff(at) - 1
-        return pa.table({"k": left["k"], "train": left["train"], "n_tokens": pa.array(size), "n_known": pa.array(add((arcs[0] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(size), n)), "base_score": pa.array(add(base)), "score": pa.array(add(score))})
+        return pa.table({"k": left["k"], "train": left["train"], "n_tokens": pa.array(size), "n_known": pa.array(add((known > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(size), n)), "base_score": pa.array(add(base)), "score": pa.array(add(score[real]))})
 
     return run
 
 
-def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES, priors: dict[int, float] | None = None) -> DataFrame:
     """For each row of docs: id, held_out (not `train`), n_tokens, n_known, train_tokens, base_score, score."""
     size = C.total_bytes(docs, text_col)
     lay = Layout(size, order)
@@ -238,5 +312,5 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     told = asked.applyInArrow(answers(lay), "block int, bucket int, counts array<binary>")
     count = asked.applyInArrow(vocabulary(lay), "n bigint, v bigint").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     told = told.crossJoin(F.broadcast(count))  # one row
-    out = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scores(lay), f"k {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scores(lay, priors or PRIORS), f"k {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.select(F.col("k").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -470,3 +470,67 @@ def test_first_columns(spark, data):
     }
     for name, cols in want.items():
         assert queries.QUERIES[name](spark, data).columns == cols.split()
+
+
+def test_automaton_states():
+    """States, arcs and failure arcs against dictionaries, on a small alphabet, in lanes of any length."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, 5, n).tolist() for n in (0, 1, 7, 60, 3)]
+    train = [0, 2, 3]
+    seq = np.concatenate([[0, *t, 5] for t in texts])
+    at = np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])])
+    gram = [collections.Counter() for _ in range(3)]
+    for k in train:
+        w = [0, *texts[k], 5]
+        for o in (1, 2, 3):
+            gram[o - 1].update(tuple(w[i : i + o]) for i in range(len(w) - o + 1))
+    names, ids, counts = [], [], []
+    for o in (1, 2, 3):
+        at_place = {p: tuple(seq[p - o + 1 : p + 1].tolist()) for a, b in zip(at[:-1], at[1:], strict=True) for p in range(a + o - 1, b)}
+        names.append(sorted(set(at_place.values())))
+        ids.append(np.array([names[-1].index(at_place[p]) if p in at_place else -1 for p in range(len(seq))]))
+        counts.append(np.array([gram[o - 1][g] for g in names[-1]], float))
+    m = {2: 3.0, 3: 0.5}
+    auto = lm_score.Automaton(ids, counts, 50, 5, m)
+    state = {(): 0} | {g: int(auto.base[o]) + i for o in (0, 1) for i, g in enumerate(names[o])}
+    live = {h for h, s in state.items() if not h or gram[len(h) - 1][h]}
+
+    def prob(w, h):
+        if not h:
+            return (gram[0][(w,)] + 1) / 56
+        k = m[len(h) + 1]
+        return (gram[len(h)][(*h, w)] + k * prob(w, h[1:])) / (gram[len(h) - 1][h] + k)
+
+    arcs = {divmod(int(x), auto.symbols): (w, t) for x, w, t in zip(auto.keys, auto.weight, auto.to, strict=True)}
+    want = {}
+    for o in (1, 2):
+        for g, c in gram[o].items():
+            if c and g in names[o]:
+                to = next(g[i:] for i in range(max(0, len(g) - 2), len(g) + 1) if g[i:] in live)
+                want[state[g[:-1]], names[0].index(g[-1:])] = (math.log10(prob(g[-1], g[:-1])), state[to])
+    assert arcs.keys() == want.keys() and all(math.isclose(arcs[k][0], want[k][0]) and arcs[k][1] == want[k][1] for k in want)
+    for h in live - {()}:
+        assert auto.fail[state[h]] == state[h[1:]] and math.isclose(auto.loss[state[h]], math.log10(m[len(h) + 1] / (gram[len(h) - 1][h] + m[len(h) + 1])))
+    full = auto.read(ids[0], at, names[0].index((0,)))
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        for p in range(a + 1, b):
+            assert math.isclose(full[p], math.log10(prob(int(seq[p]), tuple(seq[max(a, p - 2) : p].tolist()))), rel_tol=1e-9)
+
+
+def test_automaton_lanes(monkeypatch, docs):
+    """Pieces of long texts give the scores of whole ones."""
+    train = C.fold(F.col("doc_id"), 7) != 2
+    whole = {r.doc_id: r.score for r in lm_score.lm_scores(docs, train).collect()}
+    seq = np.array([0, *[1, 2, 1, 1, 3, 2, 1, 4] * 40, 5])
+    ids = [seq] + [np.full(len(seq), -1) for _ in range(2)]
+    counts = [np.bincount(seq).astype(float)]
+    for o in (1, 2):
+        keys, inverse = np.unique(np.stack([seq[i : len(seq) - o + i] for i in range(o + 1)]), axis=1, return_inverse=True)
+        ids[o][o:] = inverse
+        counts.append(np.bincount(inverse).astype(float))
+    auto = lm_score.Automaton(ids, counts, 300, 5, lm_score.PRIORS)
+    want = auto.read(seq, np.array([0, len(seq)]), 0)
+    for lane in (3, 7, 100):
+        monkeypatch.setattr(lm_score, "LANE", lane)
+        assert np.allclose(auto.read(seq, np.array([0, len(seq)]), 0), want)
+    assert len(whole) == len(ROWS)
