@@ -1,17 +1,18 @@
 """Benchmark decontamination by an FM-index per training shard.
 
-A shard is a slice of an Arrow batch, so documents stay where they are read: no shuffle. Its words become symbols of
-the benchmark's alphabet. Of the words, only passages that can hold a window are indexed: runs of words in which
-each neighbouring pair also stands side by side in some benchmark item; a word outside such a run cannot be in a
-match, so nothing is lost. The windows are found by backward search through wavelet ranks, their occurrences located
-by sampled suffix positions, and overlapping occurrences merged into removal spans.
+A shard is a slice of an Arrow batch, so documents stay where they are read: no shuffle. All its words are indexed, as
+symbols of the benchmark's alphabet; words that no item has stand for nothing that a window could match, so each run of
+them is one separator, as is the end of a document. The windows are found by backward search through wavelet ranks,
+their occurrences located by sampled suffix positions, and overlapping occurrences merged into removal spans.
 
 The benchmark is the stated query set. It is cut into parts of at most PART_BYTES of text; each is broadcast, and the
-shards test one part after the other, so a larger benchmark costs time, not memory.
+shards test one part after the other, so a larger benchmark costs time, not memory. More than MOST_PARTS parts, which
+every executor would keep on its disk, are refused.
 
 Defined results: null and empty texts have no words and are clean; an item without words matches nothing, one with
 fewer words than a window is one window; equal windows of several items count for all of them; an empty benchmark
-marks nothing. Words compare by 64-bit hash, A-Z counting as a-z.
+marks nothing. Words compare by 64-bit hash, A-Z counting as a-z. Rows that repeat a doc_id are judged each; rows that repeat an
+item_id count as one item, and items without an id are left out. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from lodeseek.llm import common as C
 from lodeseek.llm.fm_index import FMIndex
 
-PART_BYTES = 32 << 20
-#: Words of candidate passages in one index.
-SHARD_WORDS = 1 << 20
+PART_BYTES, MOST_PARTS = 8 << 20, 64
+#: Bytes of text in one shard; a longer document is a shard of its own.
+SHARD_BYTES = 4 << 20
 
 
 class Phrases:
@@ -38,21 +39,17 @@ class Phrases:
         self.names = [str(i) for i, _ in items]
         self.vocab, sym = np.unique(h, return_inverse=True)
         sym = sym + 1
-        seen: dict[tuple[int, ...], list[int]] = {}
-        pairs = []
-        for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            w = sym[a:b]
-            pairs.append(w[:-1] * (len(self.vocab) + 1) + w[1:])
-            for i in range(max(1, b - a - window + 1) if b > a else 0):
-                seen.setdefault(tuple(w[i : i + window].tolist()), []).append(k)
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        self.lengths = np.array([len(p) for p in seen], np.int64)
-        self.rows = np.zeros((len(seen), window), np.int64)
-        for r, p in enumerate(seen):
-            self.rows[r, : len(p)] = p
-        owners = [sorted(set(x)) for x in seen.values()]
-        self.owner_at = np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int64)
-        self.owners = np.array([k for x in owners for k in x], np.int64)
+        size = np.diff(first)
+        n = np.where(size > 0, np.maximum(1, size - window + 1), 0)  # windows of each item
+        item = np.repeat(np.arange(len(size)), n)
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[item]
+        place = start[:, None] + np.arange(window)
+        rows = np.where(place < first[item + 1][:, None], sym[np.minimum(place, len(sym) - 1)], 0) if len(sym) else np.zeros((0, window), np.int64)
+        self.rows, which = np.unique(rows.astype(np.int32), axis=0, return_inverse=True)
+        self.lengths = (self.rows > 0).sum(axis=1)
+        pairs = np.unique(np.stack([which.ravel(), item]), axis=1)
+        self.owner_at = np.searchsorted(pairs[0], np.arange(len(self.rows) + 1))
+        self.owners = pairs[1]
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.vocab, h)
@@ -65,44 +62,32 @@ class Phrases:
         if not len(self.rows) or not len(h):
             return none
         sym = self.symbols(h)
-        code = sym[:-1] * (len(self.vocab) + 1) + sym[1:]
-        at = np.searchsorted(self.pairs, code)
-        linked = np.zeros(len(h), bool)  # to the word before
-        if len(self.pairs):
-            at[at == len(self.pairs)] = 0
-            linked[1:] = (self.pairs[at] == code) & (sym[:-1] > 0) & (sym[1:] > 0)
-        linked[first[:-1][first[:-1] < len(h)]] = False
-        begin = np.flatnonzero((sym > 0) & ~linked)
-        follows = np.append(linked[1:], False)
-        end = np.flatnonzero((sym > 0) & ~follows) + 1
-        use = end - begin >= self.lengths.min()
-        begin, end = begin[use], end[use]
-        win, pos = [], []
-        size = np.cumsum(end - begin + 1)
-        lo = 0
-        while lo < len(begin):
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SHARD_WORDS, "right")))
-            w, p = self._shard(sym, begin[lo:hi], end[lo:hi])
-            win.append(w)
-            pos.append(p)
-            lo = hi
-        return (np.concatenate(win), np.concatenate(pos)) if win else none
-
-    def _shard(self, sym: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = end - begin + 1  # each passage is followed by a separator
+        # A separator before the first word, then for each word its symbol, and one before a document's first word.
+        new = np.zeros(len(h), bool)
+        new[first[:-1][first[:-1] < len(h)]] = True
+        none_before = np.concatenate([[True], sym[:-1] == 0])
+        use = (sym > 0) | ~none_before  # of a run of foreign words the first one
+        cut = new & ~none_before & (sym > 0)  # a document's end between two words of the alphabet
+        size = use.astype(np.int64) + cut
         to = np.cumsum(size)
-        src = np.arange(to[-1]) - np.repeat(to - size, size) + np.repeat(begin, size)
-        seq = np.concatenate([[0], np.where(src < np.repeat(end, size), sym[np.minimum(src, len(sym) - 1)], 0)])
+        seq = np.zeros(int(to[-1]) + 2, np.int64)
+        src = np.zeros(len(seq), np.int64)
+        at = np.flatnonzero(use)
+        seq[to[at]] = sym[at]
+        src[to[at]] = at
         index = FMIndex(seq, len(self.vocab) + 1)
         lo, hi = index.search(self.rows, self.lengths)
         n = hi - lo
         which = np.repeat(np.arange(len(n)), n)
         rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        return which, src[index.locate(rows) - 1]
+        return which, src[index.locate(rows)]
 
 
 def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> int:
-    return max(1, -(-C.total_bytes(benchmark, text_col) // PART_BYTES))
+    n = max(1, -(-C.total_bytes(benchmark, text_col) // PART_BYTES))
+    if n > MOST_PARTS:
+        raise ValueError(f"a benchmark of over {MOST_PARTS * PART_BYTES >> 20} MB: pass it in several tables")
+    return n
 
 
 def decontaminate(
@@ -116,12 +101,12 @@ def decontaminate(
     sc = docs.sparkSession.sparkContext
     n = _parts(benchmark, item_col, item_text)
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i is not null")
-    part = F.pmod(F.xxhash64("i"), F.lit(n))
+    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
     parts = [sc.broadcast(Phrases([tuple(r) for r in items.where(part == k).collect()], window)) for k in range(n)]
 
     def work(batch: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> dict[str, object]:
         words, hits, names, spans = [], [], [], []
-        for i, j in C.slices(offs, 4 * C.SLICE_BYTES):
+        for i, j in C.slices(offs, SHARD_BYTES):
             pieces = [C.word_hashes(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], C.NOT_WORD) + (a, b) for a, b in ((i + x, i + y) for x, y in C.slices(offs[i : j + 1] - offs[i]))]
             h = np.concatenate([p[0] for p in pieces])
             starts = np.concatenate([p[1] + offs[p[4]] - offs[i] for p in pieces])

@@ -7,23 +7,39 @@ import numpy as np
 
 
 def suffix_order(seq: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes in order, by prefix doubling. Zeros separate texts: each is a symbol of its own."""
+    """Positions of all suffixes in order. Zeros separate texts: each is a symbol of its own, in order of place.
+
+    Suffixes are sorted by as many first symbols as fit in 64 bits; those that still tie, by doubled ranks.
+    """
     n = len(seq)
-    rank = seq.astype(np.int64) + n
-    zero = np.flatnonzero(seq == 0)
-    rank[zero] = np.arange(len(zero))
-    k = 1
+    bits = max(1, int(seq.max(initial=0)).bit_length())
+    have = max(1, 63 // bits)
+    long = np.concatenate([seq.astype(np.uint64), np.zeros(have, np.uint64)])
+    key, open_ = np.zeros(n, np.uint64), np.ones(n, bool)
+    for k in range(have):
+        part = long[k : k + n]
+        key = (key << np.uint64(bits)) | np.where(open_, part, np.uint64(0))
+        open_ &= part > 0
+    # Suffixes whose keys hold a zero and are equal have it at the same distance: a stable sort puts them in order of place.
+    order = np.argsort(key, kind="stable")
+    sorted_key, done = key[order], ~open_[order]
+    new = np.ones(n, bool)
+    new[1:] = (sorted_key[1:] != sorted_key[:-1]) | done[1:]
     while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: max(0, n - k)] = rank[k:] + 1
-        order = np.lexsort((nxt, rank))
-        a, b = rank[order], nxt[order]
-        new = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
+        group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        tied = np.flatnonzero(~new | np.append(~new[1:], False))
+        if not len(tied):
             return order
-        k *= 2
+        rank = np.empty(n + 1, np.int64)
+        rank[order] = group
+        rank[n] = -1
+        rows = order[tied]
+        after = rank[np.minimum(rows + have, n)]
+        sort = np.lexsort((after, group[tied]))
+        order[tied] = rows[sort]
+        g, a = group[tied], after[sort]
+        new[tied] = np.concatenate([[True], (g[1:] != g[:-1]) | (a[1:] != a[:-1])])
+        have *= 2
 
 
 class BitRank:
@@ -36,6 +52,9 @@ class BitRank:
         self.words = np.packbits(full, bitorder="little").view(np.uint64)
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).astype(np.int64))])
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return ((self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
     def rank1(self, i: np.ndarray) -> np.ndarray:
         w, r = i >> 6, (i & 63).astype(np.uint64)
         return self.before[w] + np.bitwise_count(self.words[w] & ((np.uint64(1) << r) - np.uint64(1))).astype(np.int64)
@@ -61,11 +80,9 @@ class FMIndex:
         sym, at = np.unique(cur, return_index=True)
         start[sym] = at
         self.zone = start
-        self.bwt = bwt
         # Sampled: every sample-th position, and each text's first symbol, so that no walk crosses a separator.
         kept = (order % sample == 0) | (bwt == 0)
         self.kept = BitRank(kept.astype(np.uint8))
-        self.is_kept = kept
         self.samples = order[kept]
 
     def rank(self, sym: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -76,6 +93,15 @@ class FMIndex:
             p = np.where((sym >> lev) & 1, self.zeros[d] + one, p - one)
         return p - self.zone[sym]
 
+    def back(self, i: np.ndarray) -> np.ndarray:
+        """Rows of the suffixes one place before those of rows i, by wavelet access to the transform."""
+        p, sym = i, np.zeros(len(i), np.int64)
+        for d in range(self.levels):
+            one, bit = self.bits[d].rank1(p), self.bits[d].get(p)
+            p = np.where(bit, self.zeros[d] + one, p - one)
+            sym = 2 * sym + bit
+        return self.first[sym] + p - self.zone[sym]
+
     def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of phrases (rows, left-aligned) by backward search, all phrases in step."""
         lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
@@ -93,11 +119,10 @@ class FMIndex:
         pos, step, row = np.zeros(len(rows), np.int64), 0, rows.copy()
         open_ = np.arange(len(rows))
         while len(open_):
-            hit = self.is_kept[row[open_]]
+            hit = self.kept.get(row[open_])
             done = open_[hit]
             pos[done] = self.samples[self.kept.rank1(row[done])] + step
             open_ = open_[~hit]
-            sym = self.bwt[row[open_]]
-            row[open_] = self.first[sym] + self.rank(sym, row[open_])
+            row[open_] = self.back(row[open_])
             step += 1
         return pos
