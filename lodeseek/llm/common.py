@@ -349,19 +349,33 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
+#: Passages that stand for a long text in a training sample.
+PASSAGES = 16
+
+
+def sampled_text(text: Column, max_bytes: int) -> Column:
+    """A text of at most max_bytes bytes as it is; of a longer one PASSAGES passages, spread evenly from its first to its last character."""
+    size = max(1, max_bytes // (4 * PASSAGES) - 1)  # characters, of up to four bytes
+    room = F.char_length(text) - size
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PASSAGES - 1)), lambda i: F.substr(text, (1 + F.floor(i * room / (PASSAGES - 1))).cast("int"), F.lit(size)))
+    return F.when(F.octet_length(text) <= max_bytes, text).otherwise(F.array_join(spread, "\n"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """Training rows: texts, labels, folds 1..4 of a bounded sample, and the share of label 1 among all training labels.
 
-    Only rows whose crc32(id as text) mod 5 is not 0. per_class rows of each label are taken in the order of a hash
-    of the id; those with a text of over max_bytes are left out of training (never of scoring).
+    Only rows whose crc32(id as text) mod 5 is not 0. per_class ids of each label are taken in the order of a hash of the
+    id, with one text each (of rows that repeat an id the first in order of text); texts of over max_bytes are sampled by passages over
+    their whole length. So the sample has at most 2 * per_class * max_bytes bytes.
     """
     rows = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y")).where("i is not null and y in (0, 1)")
     rows = rows.groupBy("i").agg(F.max("y").alias("y")).withColumn("f", fold(F.col("i"), 5)).where("f <> 0")
     n, ones = rows.agg(F.count("*"), F.sum("y")).first()
     taken = [rows.where(rows.y == k).orderBy(F.xxhash64("i"), "i").limit(per_class) for k in (0, 1)]
-    text = F.col(f"`{text_col}`")
-    got = docs.select(F.col(f"`{id_col}`").alias("i"), F.coalesce(text, F.lit("")).alias("t")).where(F.octet_length("t") <= max_bytes)
-    got = got.join(F.broadcast(taken[0].unionByName(taken[1])), "i").orderBy(F.xxhash64("i"), "i", "t").select("t", "y", "f").collect()
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    got = docs.select(F.col(f"`{id_col}`").alias("i"), text.alias("t")).join(F.broadcast(taken[0].unionByName(taken[1])), "i")
+    got = got.select("i", "y", "f", sampled_text(F.col("t"), max_bytes).alias("t")).groupBy("i", "y", "f").agg(F.min("t").alias("t"))
+    got = got.orderBy(F.xxhash64("i"), "i").select("t", "y", "f").collect()
     return [r.t for r in got], np.array([r.y for r in got], np.float64), np.array([r.f for r in got]), (ones or 0) / n if n else 0.5
 
 

@@ -1,7 +1,8 @@
 """Language identification of web pages by Bayesian fusion of four kinds of evidence.
 
 1. Text: log-likelihoods of a multinomial model of byte trigrams for each language, learned from a bounded sample of
-   documents with a known language (about PER_LANG whole texts of each, of at most MAX_BYTES). The likelihood is tempered (TEMPER), as overlapping trigrams are not independent.
+   documents with a known language (per_lang texts of each, or a few more, of which at most max_bytes each, longer ones by
+   passages over their whole length). The likelihood is tempered (TEMPER), as overlapping trigrams are not independent.
 2. Declared markup language: <html lang>, xml:lang or a content-language meta tag, reduced to its primary tag.
 3. Address suffix: country domains that stand for a language, and a language tag as a path step.
 4. Host prior: hosts, then registered domains, then all pages, smoothed level by level: each level's language
@@ -13,8 +14,8 @@ is estimated over all pages and smoothed.
 
 Defined results: null html or url is no evidence of its kind; a page without any evidence gets the overall prior; ties
 go to the alphabetically first language; the languages are those of the sample and those that pages declare or whose
-country domains they have, these with a flat text likelihood (all cells alike) if the sample has none of them; an empty
-table gives no rows.
+country domains they have, those without texts in the sample with a flat text likelihood (all cells alike) on the
+pages that name them, and elsewhere as unlikely as the least likely language of the sample; an empty table gives no rows. Rows that repeat a page_id are judged each. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,14 +31,16 @@ from pyspark.sql import functions as F
 from lodeseek.llm import common as C
 
 PER_LANG, MAX_BYTES = 400, 16_384
-TEMPER, LEVEL_WEIGHT = 0.05, 5.0
+TEMPER, LEVEL_WEIGHT, UNSEEN = 0.05, 5.0, 0.01
+#: Slices of a language in which training texts are chosen before they are chosen among all.
+SLICES = 256
 CELLS = 1 << 15
 
 #: Languages that country domains stand for.
 SUFFIX_LANGUAGE = {"at": "de", "de": "de", "es": "es", "fr": "fr", "it": "it", "mx": "es", "nl": "nl", "pl": "pl", "pt": "pt", "uk": "en", "us": "en"}
 
 _DROP = re.compile(rb"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-MARKUP = re.compile(rb"""<html\b[^>]*?\b(?:xml:)?lang\s*=\s*["']?([A-Za-z]{2,3})|http-equiv\s*=\s*["']?content-language["']?\s+content\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
+MARKUP = re.compile(rb"""<html\b[^>]*?\b(?:xml:)?lang\s*=\s*["']?([A-Za-z]{2,3})|<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?content-language["']?[^>]*?\bcontent\s*=\s*["']?([A-Za-z]{2,3})|<meta\b[^>]*?\bcontent\s*=\s*["']?([A-Za-z]{2,3})[^>]*?\bhttp-equiv\s*=\s*["']?content-language\b""", re.I)
 
 
 def trigram_cells(data: np.ndarray) -> np.ndarray:
@@ -49,11 +52,14 @@ def trigram_cells(data: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
     names = sorted(set(langs))
-    count = np.full((len(names), CELLS), 0.1)
+    count = np.zeros((len(names), CELLS))
     for t, k in zip(texts, langs, strict=True):
         cells = trigram_cells(np.frombuffer(t.encode(), np.uint8))
         count[names.index(k)] += np.bincount(cells, minlength=CELLS)
-    return names, np.log(count / count.sum(axis=1, keepdims=True)).astype(np.float32)
+    total = count.sum(axis=1, keepdims=True)
+    # The same share of each language goes to all cells alike: what no language has seen tells none apart.
+    seen = np.where(total > 0, 1 - UNSEEN, 0.0)
+    return names, np.log(seen * count / np.maximum(total, 1) + (1 - seen) / CELLS).astype(np.float32)
 
 
 def page_text(html: str) -> bytes:
@@ -61,15 +67,16 @@ def page_text(html: str) -> bytes:
     return unescape(_DROP.sub(b" ", html.encode()).decode()).encode("utf-8", "replace")
 
 
-def training_texts(docs: DataFrame, text_col: str, lang_col: str, per_lang: int) -> tuple[list[str], list[str]]:
+def training_texts(docs: DataFrame, text_col: str, lang_col: str, per_lang: int, max_bytes: int) -> tuple[list[str], list[str]]:
+    """Of each language the per_lang distinct texts with the smallest hashes: the same ones however the table is dealt."""
     text = F.col(f"`{text_col}`")
-    rows = docs.select(F.coalesce(text, F.lit("")).alias("t"), F.col(f"`{lang_col}`").alias("l")).where((F.octet_length("t") <= MAX_BYTES) & (F.octet_length("t") > 0) & F.col("l").isNotNull())
-    sizes = rows.groupBy("l").agg(F.count("*").alias("n"))
-    # Each language's texts by a hash that about per_lang of them pass, and a bound on each language.
-    h = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
-    passed = rows.join(F.broadcast(sizes), "l").where(h < F.lit(per_lang) / F.col("n") * (1 << 30))
-    place = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("t")))
-    taken = passed.withColumn("place", place).where(F.col("place") <= 4 * per_lang).select("t", "l").collect()
+    rows = docs.select(F.coalesce(text, F.lit("")).alias("t"), F.col(f"`{lang_col}`").alias("l")).where((F.octet_length("t") > 0) & F.col("l").isNotNull())
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    # Hashes of distinct texts, first for each slice of a language, so that a language that a third of all rows have is no task of its own.
+    top = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+    slices = rows.select("l", "h").distinct().withColumn("s", F.pmod("h", F.lit(SLICES)))
+    best = slices.withColumn("place", top(["l", "s"])).where(F.col("place") <= per_lang).withColumn("place", top(["l"])).where(F.col("place") <= per_lang).select("l", "h")
+    taken = rows.join(F.broadcast(best), ["l", "h"]).groupBy("l", "h").agg(F.min(C.sampled_text(F.col("t"), max_bytes)).alias("t")).orderBy("l", "h").collect()
     return [r.t for r in taken], [r.l for r in taken]
 
 
@@ -88,7 +95,7 @@ def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], keep: list[s
         for i, t in enumerate(texts):
             t = t or ""
             m = MARKUP.search(t.encode())
-            said.append((m[1] or m[2]).decode().lower() if m else "")
+            said.append((m[1] or m[2] or m[3]).decode().lower() if m else "")
             cells = trigram_cells(np.frombuffer(page_text(t), np.uint8))
             flat[i] = -TEMPER * len(cells) * np.log(CELLS)
             if len(cells) and len(names):
@@ -99,10 +106,10 @@ def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], keep: list[s
 
 
 def language_id(
-    pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG
+    pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_bytes: int = MAX_BYTES
 ) -> DataFrame:
     """One row per page: id, language, probability, text_language, declared, suffix_language, host, host_pages."""
-    model = train(*training_texts(docs, text_col, lang_col, per_lang))
+    model = train(*training_texts(docs, text_col, lang_col, per_lang, max_bytes))
     rows = evidence(pages, model, [id_col, url_col], html_col)
     url = F.col(f"`{url_col}`")
     rows = rows.select(F.col(f"`{id_col}`").alias("id"), host(url).alias("host"), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]*://[^/?#]+/([A-Za-z]{2})(?:[/?#]|$)", 1)).alias("step"), F.col("r")["like"].alias("like"), F.col("r")["flat"].alias("flat"), F.col("r")["said"].alias("said"))
@@ -112,8 +119,10 @@ def language_id(
     named = {x for r in rows.select("said", "country").distinct().collect() for x in r if x}
     names = sorted(named | set(model[0])) or sorted(set(SUFFIX_LANGUAGE.values()))
     langs = F.array(*[F.lit(x) for x in names])
-    rows = rows.withColumn("like", F.array(*[F.element_at("like", model[0].index(x) + 1) if x in model[0] else F.col("flat") for x in names]))
     rows = rows.withColumn("suffix", F.when(F.array_contains(langs, F.col("step")), F.col("step")).otherwise(F.col("country")))
+    least = F.least(F.col("flat"), F.array_min("like"))
+    untrained = lambda x: F.when((F.col("said") == x) | (F.col("suffix") == x), F.col("flat")).otherwise(least)
+    rows = rows.withColumn("like", F.array(*[F.element_at("like", model[0].index(x) + 1) if x in model[0] else untrained(x) for x in names]))
     rows = rows.withColumn("domain", F.array_join(F.slice(F.reverse(F.split("host", r"\.")), 1, 2), "."))
     like = F.transform("like", lambda x: F.exp(x - F.array_max("like")))
     total = F.aggregate(like, F.lit(0.0), lambda a, x: a + x)
@@ -158,7 +167,8 @@ def language_id(
         return F.zip_with(n, above, lambda x, a: (x + LEVEL_WEIGHT * a) / (s + LEVEL_WEIGHT))
 
     priors = hosts.join(domains, "domain").select("host", level(F.col("n_host"), level(F.col("n_domain"), base)).alias("prior"), "rows_host")
-    out = rows.join(priors, "host").withColumn("post", fused(F.col("text_p"), F.col("prior")))
+    # A hot host, or the many pages without one, is no task of its own: see common.join_groups.
+    out = C.join_groups(rows, priors, "host", "rows_host", rows.count()).select("*", "group.*").drop("group").withColumn("post", fused(F.col("text_p"), F.col("prior")))
     best = lambda p: F.element_at(langs, F.array_position(p, F.array_max(p)).cast("int"))
     return out.select(
         F.col("id").alias(id_col),

@@ -3,14 +3,15 @@
 Bytes have learned embeddings; FILTERS learned filters of WIDTH bytes slide over the whole text. Their responses are
 max-pooled within chunks of STRIDE positions; neighbouring chunks overlap by WIDTH - 1 bytes, so every WIDTH bytes
 of the text lie within some chunk. The mean and the maximum of the chunks' pooled responses give one probability by
-a logistic layer. It is trained with Adam on a bounded sample: PER_CLASS documents of each label, of at most
-MAX_BYTES each; the constant is then set for the share of label 1 among all training labels.
+a logistic layer. It is trained with Adam on a bounded sample: per_class documents of each label, of which at most
+max_bytes each (longer ones by passages over their whole length; scoring reads whole texts); the constant is then set for the share of label 1 among all training labels.
 
 Scoring adds up table rows: the product of embeddings and filter weights is a table for each pair of neighbouring
 positions, 65,536 rows of FILTERS numbers, looked up by two bytes at once.
 
 Defined results: null and empty texts get the score of a text without any response; with labels of one class only, or none,
-every score is that class's share of the labels (0.5 without labels). Labels, lang, source and id are no inputs.
+every score is that class's share of the labels (0.5 without labels). Rows that repeat an id are scored each by their own
+text, equal texts alike. Labels, lang, source and id are no inputs, and other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -142,9 +143,9 @@ def train(texts: list[str], y: np.ndarray, share: float) -> ByteNet:
     return net
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", keep: list[str] | None = None, result: str = "result", per_class: int = PER_CLASS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", keep: list[str] | None = None, result: str = "result", per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Columns `keep` (the id unless given) and struct `result` (score: probability of label 1) for each row."""
-    texts, y, _, share = C.labelled_sample(docs, labels, label, per_class, MAX_BYTES, id_col, text_col)
+    texts, y, _, share = C.labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col)
     net = train(texts, y, share) if len(set(y.tolist())) == 2 else None
     flat = share if net is None else 0.0
     sent = docs.sparkSession.sparkContext.broadcast([p.copy() for p in net.params()] if net else None)

@@ -1,6 +1,7 @@
 """Toxic passages: maximum-scoring segments over token log-odds, judged by extreme-value statistics.
 
-Learning (a bounded sample: PER_CLASS documents of each label, of at most MAX_BYTES each): a token's score is its log-odds
+Learning (a bounded sample: per_class documents of each label, of which at most max_bytes each, longer ones by passages
+over their whole length; scoring reads whole texts): a token's score is its log-odds
 between toxic and clean texts with an informative Dirichlet prior (the pooled counts, worth PRIOR tokens in all, or a
 twentieth of the smaller label's tokens if that is less),
 kept where it exceeds Z_MIN standard errors, less DRIFT, which makes the expected score of clean text negative.
@@ -14,7 +15,9 @@ toxic passages. The text's score is a logistic function of the best segment's si
 passages and their share of the text.
 
 Defined results: null and empty texts have no tokens and get the score of a text without passages; with labels of
-one class only, or none, every score is that class's share (0.5 without labels). Words compare by 64-bit hash.
+one class only, or none, every score is that class's share (0.5 without labels). Rows that repeat an id are scored each by
+their own text, equal texts alike; of equally good passages the first begins first. Other columns are not looked at, whatever their
+names. Words compare by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from lodeseek.llm import common as C
 
-PER_CLASS, MAX_BYTES = 3000, 32_768
+PER_CLASS, MAX_BYTES = 3000, 16_384
 PRIOR, Z_MIN, DRIFT, P_MAX = 2000.0, 2.5, 2.5, 0.01
 #: Bytes of a word that are a token; the first stands for the whole word.
 LEVELS = (1 << 30, 8, 7, 6, 5, 4)
@@ -43,11 +46,15 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], np.nda
     return out, starts, ends, first
 
 
-def log_odds(h: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens whose log-odds are significant, sorted, and these log-odds."""
-    words, code = np.unique(h, return_inverse=True)
-    y1 = np.bincount(code, weights=toxic, minlength=len(words))
-    y0 = np.bincount(code, minlength=len(words)) - y1
+def add_up(words: np.ndarray, y1: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, and the sums of their toxic and of all occurrences."""
+    words, code = np.unique(words, return_inverse=True)
+    return words, np.bincount(code, weights=y1, minlength=len(words)), np.bincount(code, weights=n, minlength=len(words))
+
+
+def log_odds(words: np.ndarray, y1: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted distinct tokens with their toxic and all occurrences those whose log-odds are significant, and these log-odds."""
+    y0 = n - y1
     n1, n0 = y1.sum(), y0.sum()
     worth = max(1.0, min(PRIOR, min(n1, n0) / 20))
     prior = worth * (y1 + y0) / max(n1 + n0, 1)
@@ -127,16 +134,16 @@ def train(texts: list[str], y: np.ndarray, folds: np.ndarray, share: float) -> M
     fit = folds != 4
     if len(set(y[fit].tolist())) < 2 or len(set(y[~fit].tolist())) < 2:
         fit = np.ones(len(y), bool)
-    hs: list[list[np.ndarray]] = [[] for _ in LEVELS]
-    ts: list[list[np.ndarray]] = [[] for _ in LEVELS]
+    none = np.zeros(0)
+    counts = [(none.astype(np.uint64), none, none)] * len(LEVELS)  # summed slice by slice: never all tokens at once
     for i, j in C.slices(offs):
         levels, _, _, first = tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         doc = np.repeat(np.arange(i, j), np.diff(first))
         for k, h in enumerate(levels):
             use = fit[doc] & (h != 0)
-            hs[k].append(h[use])
-            ts[k].append(y[doc[use]])
-    found = [log_odds(np.concatenate(a), np.concatenate(b)) for a, b in zip(hs, ts, strict=True)]
+            new = add_up(h[use], y[doc[use]], np.ones(int(use.sum())))
+            counts[k] = add_up(*(np.concatenate(x) for x in zip(counts[k], new, strict=True)))
+    found = [log_odds(*c) for c in counts]
     words, delta = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(words)
     model = Model(words[order], delta[order])
@@ -163,9 +170,9 @@ def train(texts: list[str], y: np.ndarray, folds: np.ndarray, share: float) -> M
     return model
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = PER_CLASS, keep: list[str] | None = None, result: str = "result") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = PER_CLASS, keep: list[str] | None = None, result: str = "result", max_bytes: int = MAX_BYTES) -> DataFrame:
     """Columns `keep` (the id unless given) and struct `result` for each row: score, and the toxic passages (byte ranges, segment score, p-value)."""
-    texts, y, folds, share = C.labelled_sample(docs, labels, label, per_class, MAX_BYTES, id_col, text_col)
+    texts, y, folds, share = C.labelled_sample(docs, labels, label, per_class, max_bytes, id_col, text_col)
     model = train(texts, y, folds, share) if len(set(y.tolist())) == 2 else None
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
