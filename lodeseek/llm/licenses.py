@@ -1,19 +1,25 @@
 """Licence scan: a paragraph classifier confirmed by templates.
 
 Paragraphs end at blank lines; a long one is cut into overlapping windows of WINDOW words. Features are word 1- to 3-grams as
-shares of the paragraph's n-grams, kept sparse: only n-grams of the notices below carry weights, all others count as
-one feature. A softmax regression over the licence families and an unknown class is trained on the notices, varied
-by dropping words and adding foreign ones, against paragraphs drawn from a bounded sample of the documents.
-The unknown class is calibrated on held-out paragraphs of the sample: the bar that a family's probability must clear
-is the value that at most FALSE_RATE of them reach. Each family whose probability clears the bar in a window is predicted there.
-A family is confirmed when a passage holds at least CONFIRM of a template's word pairs, one of the pairs that the fewest families
-share among them. Templates are looked for around all windows that hold CONFIRM of one, whatever the classifier says; the best match comes
-first and takes its words, so that what two families share counts for one of them.
-
-Sample paragraphs that hold half of a notice's word pairs are no examples of the unknown class.
+shares of the paragraph's n-grams, kept sparse: only n-grams of the licence texts (licence_texts.py) carry weights, all others
+count as one feature. A softmax regression over the licence families and an unknown class is trained on the families' texts,
+cut into pieces of about PIECE words and varied by dropping words and adding foreign ones, against texts of licences that
+are no family and paragraphs drawn from a bounded sample of the documents.
+The unknown class is calibrated on held-out paragraphs of the sample and on held-out licences: the bar that a family's
+probability must clear is the value that at most FALSE_RATE of the paragraphs, and none of these licences, reach. Each family
+whose probability clears the bar in a window is predicted there.
+
+A family is confirmed by comparison with the templates, which are the same pieces: when a passage holds at least CONFIRM of a piece's
+word pairs, one of the pairs that the fewest licences share among them. Templates are looked for around all windows that hold CONFIRM of one,
+whatever the classifier says; the best match comes first and takes its words, so that what two licences share counts for one of
+them. A piece that several licences have word for word counts for the one that the same document has a piece of its own of, and
+for none without such a piece. Licences that are no family take their words too, and are not reported.
+
+Sample paragraphs that hold half of a piece's word pairs are no examples of the unknown class.
 
 Defined results: null and empty texts have no paragraphs and no licence; several families in a text are all
-reported, in alphabetical order, those of one window too; a family counts if it is confirmed.
+reported, in alphabetical order, those of one window too; a family counts if it is confirmed. Rows that repeat an id are
+scanned each. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,28 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm import common as C
+from lodeseek.llm.licence_texts import HELD_OUT, NOTICES, OTHERS
 
 U = np.uint64
 WINDOW, STRIDE = 32, 16
 SAMPLE_DOCS, MAX_BYTES = 400, 16_384
 FALSE_RATE, CONFIRM = 0.001, 0.6
-VARIANTS, ROUNDS = 12, 300
-
-#: Usual notices of each family.
-NOTICES = {
-    "agpl": ["licensed under the GNU Affero General Public License", "GNU Affero General Public License as published by the Free Software Foundation", "released under the AGPL version 3"],
-    "apache": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "released under the Apache 2.0 license", "Apache Software License"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "released under the BSD license", "licensed under the 3-clause BSD license", "BSD 2-Clause License"],
-    "cc-by": ["licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0", "this work is licensed under CC BY"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "this work is licensed under CC BY-NC"],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "this work is licensed under CC BY-SA"],
-    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights", "dedicated to the public domain under CC0 1.0 Universal", "released under CC0"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License", "released under the GPL version 2", "GNU General Public License as published by the Free Software Foundation"],
-    "lgpl": ["licensed under the GNU Lesser General Public License", "GNU Lesser General Public License as published by the Free Software Foundation", "released under the LGPL version 2.1"],
-    "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "licensed under the MIT license", "The MIT License"],
-    "mpl": ["subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License", "released under the MPL 2.0"],
-    "proprietary": ["All rights reserved", "no part of this publication may be reproduced without prior written permission", "proprietary and confidential"],
-}
+VARIANTS, ROUNDS = 8, 150
+#: Words of a template, about.
+PIECE = 16
+
 FAMILIES = sorted(NOTICES)
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -55,6 +49,12 @@ def hashes(text: str) -> np.ndarray:
     return C.word_hashes(data, np.array([0, len(data)]), C.NOT_WORD)[0]
 
 
+def cut_pieces(text: str) -> list[np.ndarray]:
+    """Word hashes of a text in pieces of about PIECE words."""
+    h = hashes(text)
+    return np.array_split(h, max(1, round(len(h) / PIECE)))
+
+
 def ngrams(h: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashes of 1- to 3-grams and the paragraph of each; paragraphs begin at `first` (with the end)."""
     par = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -68,20 +68,30 @@ def ngrams(h: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarra
 
 class Model:
     def __init__(self) -> None:
-        notices = [(k, ngrams(h, np.array([0, len(h)]))) for k, fam in enumerate(FAMILIES) for h in map(hashes, NOTICES[fam])]
-        self.grams = np.unique(np.concatenate([g for _, grams in notices for g, _ in grams]))
-        self.weights = np.zeros((len(self.grams) + 2, len(FAMILIES) + 1))  # then: all other n-grams, the constant
+        unknown = len(FAMILIES)
+        #: (family, words) of each template; licences that are no family come last.
+        self.pieces = [(k, h) for k, fam in enumerate(FAMILIES) for t in NOTICES[fam] for h in cut_pieces(t)]
+        self.pieces += [(unknown, h) for texts in OTHERS.values() for t in texts for h in cut_pieces(t)]
+        whole = [(k, fam, t) for k, fam in enumerate(FAMILIES) for t in NOTICES[fam]] + [(unknown, x, t) for x, texts in OTHERS.items() for t in texts]
+        self.grams = np.unique(np.concatenate([g for _, _, t in whole for h in [hashes(t)] for g, _ in ngrams(h, np.array([0, len(h)]))]))
+        self.weights = np.zeros((len(self.grams) + 2, unknown + 1))  # then: all other n-grams, the constant
         self.bar = 0.5
-        pairs = [np.unique(grams[1][0]) for _, grams in notices if len(grams[1][0])]
-        self.family = np.array([k for k, grams in notices if len(grams[1][0])])
+        got = [(k, np.unique(ngrams(h, np.array([0, len(h)]))[1][0])) for k, h in self.pieces if len(h) > 1]
+        self.family = np.array([k for k, _ in got])
+        pairs = [p for _, p in got]
         self.pairs, self.size = np.concatenate(pairs), np.array([len(p) for p in pairs])
         self.sets = [set(p.tolist()) for p in pairs]
-        owners: dict[int, set[int]] = {}
-        for k, own in zip(self.family.tolist(), self.sets, strict=True):
-            for x in own:
-                owners.setdefault(x, set()).add(k)
-        #: For each template its pairs that the fewest families have.
+        owners: dict[int, set[str]] = {}
+        for _, licence, t in whole:
+            h = hashes(t)
+            for x in ngrams(h, np.array([0, len(h)]))[1][0].tolist():
+                owners.setdefault(x, set()).add(licence)
+        #: For each template its pairs that the fewest licences have, and these licences' number in all.
         self.rare = [{x for x in own if len(owners[x]) == min(len(owners[z]) for z in own)} for own in self.sets]
+        self.shared = [min(len(owners[z]) for z in own) > 1 for own in self.sets]
+        #: Families (or the unknown class) that have a shared template's rare pairs.
+        number = {fam: k for k, fam in enumerate(FAMILIES)}
+        self.owners = [{number.get(o, unknown) for x in rare for o in owners[x]} for rare in self.rare]
         self.order = np.argsort(self.pairs, kind="stable")
         self.template = np.repeat(np.arange(len(self.size)), self.size)[self.order]
         self.sorted = self.pairs[self.order]
@@ -105,14 +115,26 @@ class Model:
         other = total - np.bincount(r, minlength=len(total))
         return (z + other[:, None] * self.weights[-2]) / np.maximum(total, 1)[:, None] + self.weights[-1]
 
-    def dense(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def fit(self, h: np.ndarray, first: np.ndarray, want: np.ndarray, scale: np.ndarray) -> None:
+        """Softmax regression by adaptive gradient steps, on sparse rows."""
         r, c, total = self.sparse(h, first)
-        x = np.zeros((len(total), len(self.grams) + 2))
-        np.add.at(x, (r, c), 1)
-        x[:, -2] = total - x.sum(axis=1)
-        x /= np.maximum(total, 1)[:, None]
-        x[:, -1] = 1
-        return x
+        n = len(total)
+        other = total - np.bincount(r, minlength=n)
+        value = np.concatenate([1 / np.maximum(total, 1)[r], other / np.maximum(total, 1), np.ones(n)])[:, None]
+        row = np.concatenate([r, np.arange(n), np.arange(n)])
+        col = np.concatenate([c, np.full(n, len(self.grams)), np.full(n, len(self.grams) + 1)])
+        by_row, by_col = np.argsort(row, kind="stable"), np.argsort(col, kind="stable")
+        rows = np.flatnonzero(np.diff(row[by_row], prepend=-1))
+        cols = np.flatnonzero(np.diff(col[by_col], prepend=-1))
+        used = col[by_col][cols]
+        g2 = np.full(self.weights.shape, 1e-8)
+        for _ in range(ROUNDS):
+            z = np.add.reduceat((self.weights[col] * value)[by_row], rows)
+            d = (softmax(z) - want) * scale[:, None] / n
+            g = 1e-6 * self.weights
+            g[used] += np.add.reduceat((d[row] * value)[by_col], cols)
+            g2 += g * g
+            self.weights -= 1.0 * g / np.sqrt(g2)
 
     def overlap(self, h: np.ndarray) -> np.ndarray:
         """For each template the share of its word pairs that the paragraph holds."""
@@ -133,7 +155,7 @@ class Model:
         return np.unique(cell[count >= CONFIRM * self.size[cell % len(self.size)] - 1e-9] // len(self.size))
 
     def matches(self, h: np.ndarray) -> list[tuple[int, int, int]]:
-        """Families that the words confirm, as (family, first word, end); the best match first, and its words serve no other."""
+        """Templates that the words hold, as (template, first word, end); the best match first, and its words serve no other."""
         pairs: list[int | None] = ngrams(h, np.array([0, len(h)]))[1][0].tolist()
         out = []
         while True:
@@ -150,19 +172,32 @@ class Model:
                         seen.setdefault(pairs[j], j)
                     if len(seen) >= CONFIRM * len(own) - 1e-9 and seen.keys() & self.rare[t]:
                         last = max(seen.values())
-                        found.append((-len(seen) / len(own), -len(seen), last - i, i, int(self.family[t]), last + 2))
+                        found.append((-len(seen) / len(own), -len(seen), last - i, i, t, last + 2))
             # Matches that touch no better one; then again with the pairs that are left.
             new = 0
             used = bytearray(len(pairs))
-            for _, _, _, a, family, b in sorted(found):
+            for _, _, _, a, t, b in sorted(found):
                 if not any(used[a : b - 1]):
                     used[a : b - 1] = b"\1" * (b - 1 - a)
                     pairs[a : b - 1] = [None] * (b - 1 - a)
-                    out.append((family, a, b))
+                    out.append((t, a, b))
                     new += 1
             if not new:
                 return out
 
+    def resolve(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """(family, first word, end) of a document's matches; shared templates go to a licence with a template of its own here."""
+        own = {int(self.family[t]) for t, _, _ in found if not self.shared[t]}
+        out = []
+        for t, a, b in found:
+            k = int(self.family[t])
+            if self.shared[t]:
+                have = sorted(own & self.owners[t])
+                k = k if k in have else have[0] if have else len(FAMILIES)
+            if k < len(FAMILIES):
+                out.append((k, a, b))
+        return out
+
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -226,41 +261,41 @@ def train(texts: list[str]) -> Model:
     hold, rest = rest[: len(rest) // 3], rest[len(rest) // 3 :]
     filler = np.concatenate(rest) if rest else np.zeros(0, np.uint64)
     rows, y = [], []
-    for k, fam in enumerate(FAMILIES):
-        for t in NOTICES[fam]:
-            h = hashes(t)
-            for v in range(VARIANTS):
-                own = h[rng.random(len(h)) > 0.08 * (v > 0)]
-                a, b = rng.integers(0, 12, 2) * (v > 1)
-                extra = rng.choice(filler, a + b) if len(filler) else filler
-                rows.append(np.concatenate([extra[:a], own, extra[a:]]))
-                y.append(k)
-    for p in rest[: max(200, 2 * len(rows))]:
+    for k, h in m.pieces:
+        for v in range(VARIANTS):
+            own = h[rng.random(len(h)) > 0.08 * (v > 0)]
+            a, b = rng.integers(0, 12, 2) * (v > 1)
+            extra = rng.choice(filler, a + b) if len(filler) else filler
+            rows.append(np.concatenate([extra[:a], own, extra[a:]]))
+            y.append(k)
+    for p in rest[: 2 * len(rows)]:
         rows.append(p)
         y.append(len(FAMILIES))
     first = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-    x = m.dense(np.concatenate(rows), first)
     want = np.eye(len(FAMILIES) + 1)[y]
     scale = 1 / np.maximum(want.sum(axis=0), 1)[y]
-    scale /= scale.mean()
-    g2 = np.full(m.weights.shape, 1e-8)
-    for _ in range(ROUNDS):
-        g = x.T @ ((softmax(x @ m.weights) - want) * scale[:, None]) / len(x) + 1e-6 * m.weights
-        g2 += g * g
-        m.weights -= 1.0 * g / np.sqrt(g2)
+    m.fit(np.concatenate(rows), first, want, scale / scale.mean())
+
+    def top(parts: list[np.ndarray]) -> np.ndarray:
+        f = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        return softmax(m.logits(np.concatenate(parts), f))[:, :-1].max(axis=1)
+
+    bars = [0.5, top([h for texts in HELD_OUT.values() for t in texts for h in cut_pieces(t)]).max()]
     if hold:
-        f = np.concatenate([[0], np.cumsum([len(p) for p in hold])]).astype(np.int64)
-        top = softmax(m.logits(np.concatenate(hold), f))[:, :-1].max(axis=1)
-        m.bar = float(min(0.95, max(0.5, np.quantile(top, 1 - FALSE_RATE))))
+        bars.append(np.quantile(top(hold), 1 - FALSE_RATE))
+    m.bar = float(min(0.99, max(bars)))
     return m
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per row of docs: id, families (array), and findings (byte range, family, probability, confirmed)."""
     text = F.col(f"`{text_col}`")
     n = docs.count()
-    sample = docs.select(text.alias("t")).where((F.octet_length("t") <= MAX_BYTES) & (F.octet_length("t") > 0) & (F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.lit(min(1.0, sample_docs / max(n, 1)) * (1 << 30))))
-    model = train([r.t for r in sample.limit(4 * sample_docs).collect()])
+    # About sample_docs distinct texts by a hash, and at most four times as many, in the order of that hash; long ones by passages.
+    h = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
+    sample = docs.select(text.alias("t")).where((F.octet_length("t") > 0) & (h < F.lit(min(1.0, sample_docs / max(n, 1)) * (1 << 30))))
+    sample = sample.select(F.xxhash64("t").alias("h"), C.sampled_text(F.col("t"), max_bytes).alias("t")).groupBy("h").agg(F.min("t").alias("t"))
+    model = train([r.t for r in sample.orderBy("h").limit(4 * sample_docs).collect()])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> dict[str, object]:
@@ -275,10 +310,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             p = softmax(m.logits(*words))
             where = lambda k, a, b, f, prob, sure: {"start": int(starts[a]) - k, "end": int(ends[b - 1]) - k, "family": FAMILIES[f], "probability": float(prob), "confirmed": sure}
             sure: dict[int, list[tuple[int, int]]] = {}
+            by_doc: dict[int, list[tuple[int, int, int]]] = {}
             for a, b in regions(m.near(*words), s, e, par, first):
                 d = int(doc[np.searchsorted(first, a, "right") - 1])
-                for f, x, y in m.matches(h[a:b]):
-                    x, y = a + x, a + y
+                by_doc.setdefault(d, []).extend((t, a + x, a + y) for t, x, y in m.matches(h[a:b]))
+            for d, matched in by_doc.items():
+                for f, x, y in m.resolve(matched):
                     # Windows begin in order; those that touch the match.
                     touch = np.arange(np.searchsorted(e, x, "right"), np.searchsorted(s, y, "left"))
                     found[i + d].append(where(int(offs[i + d] - offs[i]), x, y, f, p[touch, f].max(), True))

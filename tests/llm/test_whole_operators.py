@@ -192,3 +192,29 @@ def test_language_against_a_plain_fusion(spark):
         post = fused(r, p, prior)
         want.append((r[0], names[post.index(max(post))], round(max(post), 6), r[2], r[1]))
     assert sorted((g.page_id, g.language, round(g.probability, 6), g.declared, g.host) for g in got) == sorted(want)
+
+
+def test_licence_families_and_others(spark):
+    """Paragraphs of several lines, short identifiers, licences that are no family, shared passages; and a plain classifier."""
+    from lodeseek.llm.licence_texts import HELD_OUT, NOTICES, OTHERS
+
+    rng = random.Random(2)
+    filler = lambda n: " ".join(rng.choice("the cat runs of day with some river stone and house".split()) for _ in range(n))
+    wrap = lambda t: "\n".join(" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    full = {"mit": NOTICES["mit"][4:], "bsd": NOTICES["bsd"][6:], "gpl": NOTICES["gpl"][8:], "lgpl": NOTICES["lgpl"][5:], "apache": NOTICES["apache"][5:]}
+    rows = [(f"{filler(80)}\n\n{wrap(' '.join(t))}\n\n{filler(40)}", [k]) for k, t in full.items()]
+    rows += [(f"# SPDX-License-Identifier: {x}", [k]) for x, k in (("MIT", "mit"), ("Apache-2.0", "apache"), ("GPL-3.0-or-later", "gpl"), ("BSD-3-Clause", "bsd"))]
+    rows += [(wrap(NOTICES["mit"][-2] + " " + NOTICES["mit"][-1]), ["mit"]), (wrap(NOTICES["bsd"][8]), ["bsd"])]
+    rows += [(f"{filler(50)}\n\n{wrap(' '.join(t))}", []) for t in [*OTHERS.values(), *HELD_OUT.values()]]
+    rows += [("Boost Software License", []), (filler(300), []), ("x" * 70_000, []), ("Released under the MIT License. " * 3000, ["mit"])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(0, "The MIT License")], "doc_id long, text string").withColumn("families", F.lit(1)).withColumn("findings", F.lit(2))
+    got = licenses.license_scan(df).collect()
+    assert sorted((r.doc_id, r.families) for r in got) == sorted([(i, k) for i, (_, k) in enumerate(rows)] + [(0, ["mit"])])
+    assert all(f.probability <= 1 and f.start < f.end for r in got for f in r.findings)
+    m = licenses.train([filler(400) for _ in range(30)])
+    known = {int(g): i for i, g in enumerate(m.grams)}
+    for t in ["Released under the MIT License", filler(40), NOTICES["bsd"][8], "word"]:
+        h = licenses.hashes(t)
+        grams = [int(C.join_hash(C.join_hash(h[i : i + 1], h[i + 1 : i + 2]), h[i + 2 : i + 3])[0] if n == 3 else C.join_hash(h[i : i + 1], h[i + 1 : i + 2])[0] if n == 2 else h[i]) for n in (1, 2, 3) for i in range(len(h) - n + 1)]
+        z = sum(m.weights[known.get(g, len(m.grams))] for g in grams) / len(grams) + m.weights[-1]
+        assert np.allclose(licenses.softmax(z[None])[0], licenses.softmax(m.logits(h, np.array([0, len(h)])))[0], atol=1e-9)
