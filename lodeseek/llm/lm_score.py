@@ -196,9 +196,10 @@ class Automaton:
         keys, weights, targets = [], [], []
         for o in range(1, order):
             m = priors.get(o + 1, 10.0)
-            place = np.zeros(len(counts[o]), np.int64)
+            place = np.zeros(len(counts[o]), np.int32)
             at = np.flatnonzero(ids[o] >= 0)
             place[ids[o][at]] = at
+            del at
             context, suffix = ids[o - 1][place - 1], ids[o - 1][place]
             p = (counts[o] + m * p[suffix]) / (counts[o - 1][context] + m)
             arc = np.flatnonzero(counts[o] > 0)
@@ -215,6 +216,7 @@ class Automaton:
         keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         sort = np.argsort(keys)
         self.keys = keys[sort]
+        del keys
         self.weight = np.concatenate(weights)[sort] if weights else np.zeros(0)
         self.to = np.concatenate(targets)[sort] if targets else np.zeros(0, np.int64)
 
@@ -273,18 +275,21 @@ def scores(lay: Layout, priors: dict[int, float]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = C.undeal(left, ["k", "t"])
         seq, at, orders = block_grams(left, lay)
+        orders = [(pos, len(keys), inverse.astype(np.int32)) for pos, keys, inverse in orders]
         right = right.sort_by("bucket")
         got = right["counts"].to_pylist()
         n, v = right["n"][0].as_py(), right["v"][0].as_py()
         ids, counts = [], []
-        for o, (pos, keys, inverse) in enumerate(orders):
-            total = np.concatenate([np.frombuffer(zlib.decompress(g[o]), np.uint32) for g in got]).astype(np.float64)
-            if len(total) != len(keys):
+        while orders:
+            pos, size, inverse = orders.pop(0)
+            total = np.concatenate([np.frombuffer(zlib.decompress(g[len(ids)]), np.uint32) for g in got]).astype(np.float64)
+            if len(total) != size:
                 raise ValueError("the answers do not fit the block's n-grams")
-            own = np.full(len(seq), -1, np.int64)
+            own = np.full(len(seq), -1, np.int32)
             own[pos] = inverse
             ids.append(own)
             counts.append(total)
+        del pos, inverse, got
         begin = int(ids[0][at[0]]) if len(at) > 1 else 0
         score = Automaton(ids, counts, n, v, priors).read(ids[0], at, begin)
         real = seq != BEGIN
