@@ -112,6 +112,33 @@ ORACLE: dict[str, str] = {
                coalesce(its.h, sha256('')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
     """,
+    "op4_near_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS s FROM d, unnest(range(1, greatest(2, len(w)))) AS t(i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+        edge AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM reach r JOIN edge e ON r.y = e.x)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, doc_id = c.c AS kept
+        FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) c USING (doc_id)
+    """,
+    "op7_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        win AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS w FROM d, unnest(range(0, n - 49)) AS t(i) WHERE n >= 50),
+        hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS least FROM win) WHERE least < doc_id),
+        edge AS (SELECT doc_id, i, i - max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM hit),
+        run AS (SELECT doc_id, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge),
+        span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
+        part AS (
+            SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b FROM (SELECT doc_id, a, b FROM span UNION ALL SELECT doc_id, n, n FROM d)),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM part JOIN d USING (doc_id) GROUP BY doc_id),
+        cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n, count(*) AS c FROM span GROUP BY doc_id)
+        SELECT doc_id, d.n::BIGINT AS n_bytes, coalesce(cut.n, 0) AS n_removed, coalesce(cut.c, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+        FROM d JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+    """,
     "op9_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s
