@@ -19,6 +19,13 @@ A byte goes if a WINDOW-byte string that covers it also starts in a document wit
 Buckets are chosen by hash, and a context reaches a bucket at most once per block in step 1 and once in all in step 2, so
 a passage that stands in a third of all documents is as many small rows as there are blocks.
 
+A line that many documents hold between different texts gives one anchor as many contexts as documents. Such hot anchors
+are split: their windows by the place of the anchor, CHUNK places a piece, with the bytes that all windows of a piece share as
+the new key; pieces that are hot still become single windows, keyed by the piece and some bits of the window's hash, more bits
+the larger the input. Each key follows from the window's bytes alone and the hot keys, which are the same for all tasks, so
+equal windows still meet, and what is open is merged as before. Hot keys are those with HOT or more contexts in the
+first block, a random part of the input by hash: they decide how work is dealt out, never what is found.
+
 Defined results: null is the empty text; texts shorter than a window lose nothing; repeats within one document stay;
 rows that repeat an id count as one document, which loses nothing to itself. Ids are integers; a null id counts as
 the largest. Other columns are not looked at.
@@ -46,16 +53,27 @@ PIECE = 1 << 18
 SHARDS = 8
 POS = U((1 << 24) - 1)
 NONE = np.iinfo(np.int64).max
+#: A key with so many contexts in the first block is split.
+HOT = 32
+#: Places of a hot anchor in its windows that stay together.
+CHUNK = 8
+
+
+class Hot:
+    """Keys to split: hot anchors, hot pieces of theirs, and the number of bits of a window's hash that deal the latter out."""
 
+    def __init__(self, anchors=(), chunks=(), bits: int = 4):
+        self.anchors, self.chunks, self.bits = np.sort(np.array(anchors, np.uint64)), np.sort(np.array(chunks, np.uint64)), bits
 
-def runs(data: np.ndarray, offs: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Of the texts' windows: anchor hash, context hash, first and last start (places in data) and text number of each run."""
+
+def runs(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, hot: Hot | None = None) -> tuple[np.ndarray, ...]:
+    """Of the texts' windows: key (anchor hash, or that of a piece), context hash, first and last start (places in data) and text number of each run."""
     out = []
     for i, j in C.slices(offs, PIECE):
         for a, b in pieces(int(offs[i]), int(offs[j]), window):
             part = data[a:b]
             own = np.clip(offs[i : j + 1], a, b) - a
-            got = _runs(part, own, window)
+            got = _runs(part, own, window, hot or Hot())
             if got is not None:
                 anchor, ctx, lo, hi, doc = got
                 out.append((anchor, ctx, lo + a, hi + a, doc + i))
@@ -74,7 +92,7 @@ def pieces(a: int, b: int, window: int) -> Iterator[tuple[int, int]]:
         yield s, min(b, s + PIECE + window - 1)
 
 
-def _runs(data: np.ndarray, offs: np.ndarray, window: int):
+def _runs(data: np.ndarray, offs: np.ndarray, window: int, hot: Hot):
     n = len(data) - window + 1
     if n <= 0:
         return None
@@ -107,8 +125,43 @@ def _runs(data: np.ndarray, offs: np.ndarray, window: int):
     if not len(lo):
         return None
     pos = (low[lo] & POS).astype(np.int64)
+    key, lo, hi, pos = split(sums, C.span_hash(sums, pos, pos + K), lo, hi, pos, window, hot)
     ctx = C.join_hash(C.span_hash(sums, lo, hi + window), (pos - lo).astype(np.uint64))
-    return C.span_hash(sums, pos, pos + K), ctx, lo, hi, np.searchsorted(offs, lo, "right") - 1
+    return key, ctx, lo, hi, np.searchsorted(offs, lo, "right") - 1
+
+
+def split(sums: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, pos: np.ndarray, window: int, hot: Hot) -> tuple[np.ndarray, ...]:
+    """Runs (key, first and last start, place of the anchor) with those of hot keys cut into pieces, and hot pieces into windows."""
+    is_hot = among(key, hot.anchors)
+    if not is_hot.any():
+        return key, lo, hi, pos
+    rest = [x[~is_hot] for x in (key, lo, hi, pos)]
+    old, a, b, p = (x[is_hot] for x in (key, lo, hi, pos))
+    first, last = (p - a) // CHUNK, (p - b) // CHUNK  # the pieces of a run, from its first window to its last
+    row, step = spread(first - last + 1)
+    piece = first[row] - step
+    near = p[row] - CHUNK * piece  # the last start of a whole piece; its windows share the bytes from there on
+    a, b = np.maximum(a[row], near - CHUNK + 1), np.minimum(b[row], near)
+    old, p = C.join_hash(old[row], C.join_hash(C.span_hash(sums, near, near + window - CHUNK + 1), piece.astype(np.uint64))), p[row]
+    single = among(old, hot.chunks)
+    row, step = spread((b - a + 1)[single])
+    at = a[single][row] + step
+    fine = C.span_hash(sums, at, at + window) >> U(64 - hot.bits)
+    more = [C.join_hash(old[single][row], fine), at, at, p[single][row]]
+    return tuple(np.concatenate([r, x[~single], m]) for r, x, m in zip(rest, (old, a, b, p), more, strict=True))
+
+
+def among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether x is one of the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(x), bool)
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+
+
+def spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts n: row numbers, each repeated as often as its count, and 0, 1, ... within each row."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
 
 
 def order_by(first: np.ndarray, *rest: np.ndarray) -> np.ndarray:
@@ -125,11 +178,11 @@ def order_by(first: np.ndarray, *rest: np.ndarray) -> np.ndarray:
 class Block:
     """A block's texts in a fixed order, its runs, and its distinct (anchor, context) keys."""
 
-    def __init__(self, table: pa.Table, window: int):
+    def __init__(self, table: pa.Table, window: int, hot: Hot | None = None):
         self.table = table = C.undeal(table, ["k", "t"])
         self.ids = table["k"].fill_null(NONE).to_numpy()
         self.data, self.offs = C.text_buffer(table["t"])
-        self.anchor, ctx, self.lo, self.hi, self.doc = runs(self.data, self.offs, window)
+        self.anchor, ctx, self.lo, self.hi, self.doc = runs(self.data, self.offs, window, hot)
         order = order_by(self.anchor, ctx, self.doc)
         a, c = self.anchor[order], ctx[order]
         new = np.ones(len(a), bool)
@@ -145,6 +198,21 @@ class Block:
         return np.concatenate([[0], np.searchsorted(self.key_anchor, np.arange(1, 1 << bits, dtype=np.uint64) << U(64 - bits)), [len(self.key_anchor)]])
 
 
+def hot_keys(window: int):
+    """Keys of a block with HOT or more contexts: anchors, and pieces of these."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = []
+        for _ in range(2):
+            blk = Block(table, window, Hot(*found))
+            keys, n = np.unique(blk.key_anchor, return_counts=True)
+            found.append(keys[n >= HOT])
+        level = np.repeat([0, 1], [len(x) for x in found])
+        return pa.table({"level": pa.array(level, pa.int32()), "key": pa.array(np.concatenate(found).view(np.int64))})
+
+    return run
+
+
 def packed(x: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
 
@@ -162,9 +230,9 @@ def ids_of(head: bytes, body: bytes) -> np.ndarray:
     return np.frombuffer(body, np.dtype(head[8:].decode())).astype(np.int64) + np.frombuffer(head[:8], np.int64)[0]
 
 
-def requests(bits: int, window: int):
+def requests(bits: int, window: int, hot: Hot):
     def run(table: pa.Table) -> pa.Table:
-        blk = Block(table, window)
+        blk = Block(table, window, hot)
         block = table["block"][0].as_py()
         cut = blk.cut(bits)
         rows = []
@@ -228,13 +296,13 @@ def bits_of(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(raw), np.uint8), count=int(n))
 
 
-def open_contexts(bits: int, window: int):
+def open_contexts(bits: int, window: int, hot: Hot):
     """Contexts whose first occurrence is in this block and whose anchor has other contexts: one row for each bucket."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, buckets = [], []
         if left.num_rows and right.num_rows:
-            blk = Block(left, window)
+            blk = Block(left, window, hot)
             cut = blk.cut(bits)
             least, flag = read_answers(right, cut, blk.key_id)
             for b in range(1 << bits):
@@ -370,9 +438,9 @@ def merge_bucket(window: int):
     return run
 
 
-def cuts(bits: int, window: int, id_kind: pa.DataType):
+def cuts(bits: int, window: int, hot: Hot, id_kind: pa.DataType):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        blk = Block(left, window)
+        blk = Block(left, window, hot)
         n = len(blk.offs) - 1
         delta = np.zeros(len(blk.data) + 1, np.int32)
         if right.num_rows and len(blk.lo):
@@ -441,12 +509,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = min(14, max(6, (size // (8 << 20)).bit_length()))
     ident, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.pmod(F.xxhash64(ident, F.substring(text, 1, 64)), F.lit(blocks)).cast("int").alias("block"), ident.alias("k"), text.alias("t"))
+    sample = C.deal(rows.where("block = 0")).groupBy("block").applyInArrow(hot_keys(window), "level int, key bigint").collect()  # at most a block's keys / HOT
+    keys = [np.array([r.key for r in sample if r.level == k], np.int64).view(np.uint64) for k in (0, 1)]
+    hot = Hot(*keys, bits=min(40, (4 * blocks).bit_length()))
     rows = C.deal(rows)
-    asked = rows.groupBy("block").applyInArrow(requests(bits, window), "bucket int, block int, asked array<binary>")
+    asked = rows.groupBy("block").applyInArrow(requests(bits, window, hot), "bucket int, block int, asked array<binary>")
     told = asked.groupBy("bucket").applyInArrow(answers, "block int, bucket int, told array<binary>")
     by_block = rows.groupBy("block")
-    ctx = by_block.cogroup(told.groupBy("block")).applyInArrow(open_contexts(bits, window), "bucket int, block int, ctx array<binary>")
+    ctx = by_block.cogroup(told.groupBy("block")).applyInArrow(open_contexts(bits, window, hot), "bucket int, block int, ctx array<binary>")
     merged = ctx.groupBy("bucket").applyInArrow(merge_bucket(window), "block int, bucket int, told array<binary>")
     both = told.withColumn("merged", F.lit(False)).unionByName(merged.withColumn("merged", F.lit(True)))
-    out = by_block.cogroup(both.groupBy("block")).applyInArrow(cuts(bits, window, pa.int64()), "k bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, sha string")
+    out = by_block.cogroup(both.groupBy("block")).applyInArrow(cuts(bits, window, hot, pa.int64()), "k bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, sha string")
     return out.select(F.col("k").alias(id_col), "n_bytes", "n_removed", "spans", "kept", F.col("sha").alias("kept_sha256"))

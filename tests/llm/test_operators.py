@@ -335,6 +335,67 @@ def test_suffix_dedup(block_bytes, docs):
     assert suffix_dedup.suffix_dedup(docs.limit(0)).count() == 0
 
 
+def removed(rows, window=50):
+    """Bytes that go, by id, from a dictionary of all windows."""
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - window + 1):
+            if seen.setdefault(b[p : p + window], i) < i:
+                gone[p : p + window] = b"\1" * window
+        out[i] = sum(gone)
+    return out
+
+
+def hot_line_rows(n=1500):
+    """Different texts that hold one line, some of them also parts of their neighbours."""
+    rng = random.Random(12)
+    noise = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    line = "all rights reserved by the holders named below, see the notice that comes with this text"
+    rows = []
+    for i in range(n):
+        before, after = noise(rng.randrange(0, 120)), noise(rng.randrange(0, 120))
+        if rows and i % 5 == 0:
+            after = rows[rng.randrange(len(rows))][1][-60:] + after
+        if rows and i % 7 == 0:
+            before = rows[rng.randrange(len(rows))][1][:70]
+        rows.append((i, before + line + after))
+    return rows
+
+
+def test_hot_line_is_split():
+    """A line between different texts: its contexts are dealt over all buckets."""
+    rows = hot_line_rows()
+    data, offs = C.text_buffer(pa.array([t for _, t in rows]))
+    table = pa.table({"k": pa.array([i for i, _ in rows]), "t": pa.array([t for _, t in rows])})
+
+    def contexts(hot):
+        key, ctx, *_ = suffix_dedup.runs(data, offs, 50, hot)
+        key = np.unique(np.stack([key, ctx]), axis=1)[0]
+        return np.unique(key, return_counts=True)[1].max(), np.bincount((key >> np.uint64(58)).astype(int), minlength=64)
+
+    deal = suffix_dedup.C.undeal
+    try:
+        suffix_dedup.C.undeal = lambda t, by: t
+        found = suffix_dedup.hot_keys(50)(table).to_pydict()
+    finally:
+        suffix_dedup.C.undeal = deal
+    keys = [np.array([k for k, v in zip(found["key"], found["level"], strict=True) if v == n], np.int64).view(np.uint64) for n in (0, 1)]
+    assert len(keys[0]) and len(keys[1])
+    most, per = contexts(None)
+    assert most >= 1000 and per.max() > 5 * np.median(per)
+    most, per = contexts(suffix_dedup.Hot(*keys, bits=8))
+    assert most < 200 and per.max() < 5 * np.median(per)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 22, 40_000])
+def test_hot_line_results(block_bytes, spark):
+    rows = hot_line_rows()
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block_bytes=block_bytes)
+    assert {r.doc_id: r.n_removed for r in got.select("doc_id", "n_removed").collect()} == removed(rows)
+
+
 def test_merged_transforms():
     rng = np.random.default_rng(6)
     for symbols in (2, 256):
