@@ -4,6 +4,8 @@ The index is a Parquet table partitioned by repository and language, so a reques
 partitions only. Vectors are stored with the records.
 """
 
+from concurrent.futures import Future, ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +21,16 @@ def lexical_text() -> F.Column:
 class Engine:
     def __init__(self, spark: SparkSession, home: str):
         self.spark, self.path = spark, f"{home}/capsules"
+        self.worker = ThreadPoolExecutor(1, "index")
 
     def index(self, root: str, repo: str, languages: list[str] | None = None) -> int:
         """Extract and store a repository, replacing what is stored of it; the number of records."""
         return self.index_files(sources.read_sources(self.spark, root, languages), repo)
 
+    def index_later(self, root: str, repo: str, languages: list[str] | None = None) -> Future:
+        """Index in the background; calls run one after the other, and the result is the number of records."""
+        return self.worker.submit(self.index, root, repo, languages)
+
     def index_files(self, files: DataFrame, repo: str) -> int:
         found = extract.capsules(files).where("type <> 'error'").withColumn("repo", F.lit(repo))
         found = found.withColumn("embedding", vectors.encode(vectors.dense_text(F.col("name"), F.col("type"), F.col("signature"), F.col("docstring"))))

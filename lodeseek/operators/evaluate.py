@@ -18,13 +18,25 @@ def criteria_score(answer: Column, criteria: Column) -> Column:
     return F.when(F.size(criteria) > 0, F.round(hits.cast("double") / F.size(criteria), 2)).otherwise(0.0)
 
 
+def benchmark_queries(queries: DataFrame, answer, judge=None) -> DataFrame:
+    """A benchmark over a table of queries (criteria array, ...): each row with its answer, criteria_score, criteria_hits, criteria_total, llm_correct.
+
+    answer adds a column `answer` to the table, judge a column `said` to that; both are functions of DataFrames. Without a judge llm_correct is null.
+    """
+    rows = queries.transform(answer)
+    said = rows.transform(judge) if judge else rows.withColumn("said", F.lit(None).cast("string"))
+    text = F.coalesce("answer", F.lit(""))
+    hits = F.size(F.filter("criteria", lambda c: F.contains(plain(text), plain(c))))
+    return said.select(*rows.columns, criteria_score(text, F.col("criteria")).alias("criteria_score"), hits.alias("criteria_hits"), F.size("criteria").alias("criteria_total"), verdict(F.col("said")).alias("llm_correct"))
+
+
 def judge_composite(**marks: Column) -> Column:
     return F.round(sum((marks[k] * w for k, w in MARKS.items()), F.lit(0.0)), 2)
 
 
 def verdict(text: Column) -> Column:
-    """A judge's yes, in Spanish or English."""
-    return F.rlike(F.upper(F.trim(text)), F.lit(r"^(SI|SÍ|YES)\b"))
+    """A judge's yes, in Spanish or English, anywhere in what it said."""
+    return F.rlike(F.upper(text), F.lit("SI|SÍ|YES"))
 
 
 #: Candidates share a name's first characters, up to so many, with the answer.

@@ -229,6 +229,22 @@ def ancestors(every: DataFrame) -> DataFrame:
     return every.where(F.contains("file_path", F.lit("/"))).select(F.explode(above).alias("dir")).groupBy("dir").agg(F.count("*").alias("n"))
 
 
+def code_tree(every: DataFrame) -> DataFrame:
+    """(part, o, line): the lines of a tree of the repository: a title, directories, files with their language, totals. One row a line."""
+    files = every.groupBy("file_path").agg(F.min_by("language", F.struct("start_line", "id")).alias("language"))
+    line = lambda part, o, c: (F.lit(part).alias("part"), o.alias("o"), c.alias("line"))
+    one, none = every.sparkSession.range(1), F.lit("")
+    total = every.agg(F.count("*").alias("a")).crossJoin(files.agg(F.count("*").alias("b")))
+    rows = [
+        one.select(*line(0, none, F.lit("Estructura del repositorio:"))),
+        ancestors(every).select(*line(1, F.col("dir"), F.concat(F.lit("  "), "dir", F.lit("/")))),
+        files.select(*line(2, F.col("file_path"), F.concat(F.lit("  "), "file_path", F.lit(" ("), "language", F.lit(")")))),
+        total.select(*line(3, none, F.concat(F.lit("\nTotal: "), F.col("b").cast("string"), F.lit(" archivos, "), F.col("a").cast("string"), F.lit(" capsulas")))),
+        one.select(*line(4, none, F.lit("Usa search_code para explorar el codigo si necesitas detalles."))),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def onboard(every: DataFrame) -> DataFrame:
     """Directories with their numbers of files, ten entry points, totals."""
     dirs = directory_counts(every)

@@ -54,6 +54,15 @@ def cost(usage: DataFrame, catalogue: DataFrame) -> DataFrame:
     return usage.join(F.broadcast(price), "model", "left").select(*usage.columns, F.coalesce(sum(parts[1:], parts[0]), F.lit(0.0)).alias("cost"))
 
 
+def session_costs(sessions: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """sessions (model, message_count, total_tokens, ...) with cost, half of the tokens taken as read and half as written, and tokens saved."""
+    half = F.floor(F.col("total_tokens") / 2)
+    none = F.lit(0)
+    priced = cost(sessions.withColumns({"input_tokens": half, "output_tokens": half, "cache_read": none, "cache_write": none}), catalogue)
+    saved = F.greatest(F.lit(0), F.col("message_count") * TOKENS_PER_QUERY - F.col("total_tokens"))
+    return priced.select(*sessions.columns, "cost", saved.alias("saved"))
+
+
 def route(requests: DataFrame, key: str, want: str, providers: str, table: dict[str, list[str]], default: str, catalogue: DataFrame) -> DataFrame:
     """(key, model): the first candidate whose provider is in the array `providers`, else the first provider's first model, else the last resort."""
     first = catalogue.groupBy("provider").agg(F.min_by("model", "pos").alias("_first"))
@@ -85,6 +94,11 @@ def metrics(events: DataFrame, latency: str, tokens: Column, hit: Column, miss:
     return one.crossJoin(pick).select("queries_total", "tokens_used", saved.alias("tokens_saved"), "cache_hits", "cache_misses", rate.alias("hit_rate"), "avg_latency", F.coalesce("p50_latency", F.lit(0.0)).alias("p50_latency"), F.coalesce("p99_latency", F.lit(0.0)).alias("p99_latency"))
 
 
+def index_gauges(runs: DataFrame, capsules: str) -> DataFrame:
+    """One row over runs of the indexer: capsules (the most that one run found, 0 without runs) and repos (number of runs)."""
+    return runs.agg(F.coalesce(F.max(capsules), F.lit(0)).alias("capsules"), F.count("*").alias("repos"))
+
+
 def retained(events: DataFrame, order: list[str], most: int = KEEP_MOST, last: int = KEEP_LAST) -> DataFrame:
     """What a bounded buffer holds at the end: it is cut to the last `last` whenever it exceeds `most`."""
     n = events.count()

@@ -20,6 +20,13 @@ def rollup(messages: DataFrame, session: str, tokens: Column, at: str) -> DataFr
     return messages.groupBy(session).agg(F.count("*").alias("message_count"), F.sum(tokens).alias("total_tokens"), F.max(at).alias("updated_at"))
 
 
+def with_totals(table: DataFrame, messages: DataFrame, session: str, tokens: Column, at: str) -> DataFrame:
+    """Sessions (session, ..., created_at) with updated_at, message_count and total_tokens; without messages 0, as of their creation."""
+    totals = rollup(messages, session, tokens, at).withColumnRenamed("updated_at", "_last")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return table.join(totals, session, "left").select(*table.columns, F.coalesce("_last", "created_at").alias("updated_at"), zero("message_count"), zero("total_tokens"))
+
+
 def history(messages: DataFrame, session: str, order: list[str], n: int) -> DataFrame:
     """The last n messages of each session."""
     place = F.row_number().over(Window.partitionBy(session).orderBy(*[F.desc(c) for c in order]))

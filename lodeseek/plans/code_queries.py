@@ -343,6 +343,18 @@ def dir_rollup(spark, d):
     return R.ancestors(code(spark, d))
 
 
+@query(
+    "code_tree",
+    f"""SELECT 0 AS part, '' AS o, 'Estructura del repositorio:' AS line
+        UNION ALL SELECT DISTINCT 1, dir, '  ' || dir || '/' FROM (SELECT array_to_string(p[1:i], '/') AS dir FROM (SELECT string_split(file_path, '/') AS p FROM {CODE_SQL}), unnest(range(1, len(p))) AS t(i))
+        UNION ALL SELECT DISTINCT 2, file_path, '  ' || file_path || ' (python)' FROM {CODE_SQL}
+        UNION ALL SELECT 3, '', {NL} || 'Total: ' || count(DISTINCT file_path) || ' archivos, ' || count(*) || ' capsulas' FROM {CODE_SQL}
+        UNION ALL SELECT 4, '', 'Usa search_code para explorar el codigo si necesitas detalles.'""",
+)
+def code_tree(spark, d):
+    return R.code_tree(code(spark, d))
+
+
 @query(
     "render_search_counts",
     f"SELECT 'RESUMEN: ' || count(*) FILTER (WHERE docstring = '') || ' funciones/clases SIN docstring, ' || count(*) FILTER (WHERE docstring <> '') || ' CON docstring.' AS head, 'Total: ' || (SELECT count(*) FROM {CODE_SQL}) || ' capsulas en ' || (SELECT count(DISTINCT file_path) FROM {CODE_SQL}) || ' archivos' AS tail FROM {CODE_SQL} WHERE type IN ('function', 'class')",
@@ -404,10 +416,9 @@ def search_projection(spark, d):
 CRITERIA = ["the", "Thing", "über", "nation", "ésta"]
 
 
-@query("criteria_score", "SELECT doc_id, round(len(list_filter(['the','thing','uber','nation','esta'], lambda c: contains(strip_accents(lower(text)), c)))::DOUBLE / 5, 2) AS score FROM documents WHERE lang IN ('en', 'fr')")
+@query("criteria_score", "SELECT doc_id, round(len(list_filter(['the','thing','uber','nation','esta'], lambda c: contains(strip_accents(lower(text)), c)))::DOUBLE / 5, 2) AS score FROM documents")
 def criteria_score(spark, d):
-    docs = table(spark, d, "documents").where(C("lang").isin("en", "fr"))
-    return docs.select("doc_id", E.criteria_score(C("text"), F.array(*[F.lit(c) for c in CRITERIA])).alias("score"))
+    return table(spark, d, "documents").select("doc_id", E.criteria_score(C("text"), F.array(*[F.lit(c) for c in CRITERIA])).alias("score"))
 
 
 NAMED = "(SELECT p_partkey AS id, split_part(p_name, ' ', 2) AS name FROM part)"

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from lodeseek.operators import evaluate as E
 from lodeseek.operators import service as V
 from lodeseek.operators import sessions as Z
+from lodeseek.operators import store as T
 from lodeseek.plans.registry import query, table
 from lodeseek.plans.text_queries import quoted
 from lodeseek.sources import files as S
+from lodeseek.streaming import events as EV
 from lodeseek.streaming import incremental as I
 
 C = F.col
@@ -110,13 +112,32 @@ def rate_limit_upper(spark, d):
     return V.rate_upper(e, "u", "s", 30, 3600).select("event_id", "recent")
 
 
-@query("rate_limit_admit")
+# One event of each user group a step, with what the step before left behind.
+STEPS_SQL = """e AS MATERIALIZED (SELECT event_id, u, s, ok, row_number() OVER (PARTITION BY u ORDER BY s, event_id) AS p
+        FROM (SELECT event_id, user_id % 5 AS u, epoch_us(ts) / 1000000 AS s, event_type <> 'error' AS ok FROM events))"""
+
+
+@query(
+    "rate_limit_admit",
+    f"""WITH RECURSIVE {STEPS_SQL},
+        r AS (SELECT u, 0::BIGINT AS p, []::DOUBLE[] AS stamps, NULL::BIGINT AS event_id, NULL::BOOLEAN AS admitted FROM e WHERE p = 1
+            UNION ALL SELECT u, p, CASE WHEN len(live) < 3 THEN list_append(live, s) ELSE live END, event_id, len(live) < 3
+            FROM (SELECT e.u, e.p, e.s, e.event_id, list_filter(r.stamps, lambda t: e.s - t < 3600) AS live FROM r JOIN e ON e.u = r.u AND e.p = r.p + 1))
+        SELECT event_id, u, admitted FROM r WHERE p > 0""",
+)
 def rate_limit_admit(spark, d):
     e = table(spark, d, "events").select("event_id", (C("user_id") % 5).alias("u"), F.expr(f"{SECONDS} AS s"))
     return V.rate_limit(e, "u", "s", "event_id", 3, 3600.0).select("event_id", "u", "admitted")
 
 
-@query("circuit_breaker")
+@query(
+    "circuit_breaker",
+    f"""WITH RECURSIVE {STEPS_SQL},
+        r AS (SELECT u, 0::BIGINT AS p, 0 AS f, 0.0::DOUBLE AS last, NULL::BIGINT AS event_id, NULL::VARCHAR AS state FROM e WHERE p = 1
+            UNION ALL SELECT u, p, CASE state WHEN 'open' THEN f WHEN 'ok' THEN 0 ELSE CASE WHEN f >= 3 THEN 1 ELSE f + 1 END END, CASE WHEN state = 'failed' THEN s ELSE last END, event_id, state
+            FROM (SELECT e.u, e.p, e.s, r.f, r.last, e.event_id, CASE WHEN r.f >= 3 AND e.s - r.last <= 30 THEN 'open' WHEN e.ok THEN 'ok' ELSE 'failed' END AS state FROM r JOIN e ON e.u = r.u AND e.p = r.p + 1))
+        SELECT event_id, u, state FROM r WHERE p > 0""",
+)
 def circuit_breaker(spark, d):
     e = table(spark, d, "events").select("event_id", (C("user_id") % 5).alias("u"), F.expr(f"{SECONDS} AS s"), (C("event_type") != "error").alias("ok"))
     return V.circuit_breaker(e, "u", "s", "event_id", "ok").select("event_id", "u", "state")
@@ -340,3 +361,92 @@ def not_indexed(spark, d):
 def top_spend_per_segment(spark, d):
     w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
     return table(spark, d, "customer").select("c_mktsegment", "c_custkey", F.row_number().over(w).alias("place")).where("place <= 5")
+
+
+# Stored sessions, their costs, gauges of the indexer, cached results, events of a run.
+def stored_sessions(spark, d):
+    """A session for each conversation and one without messages; tokens are a quarter of the characters."""
+    m = table(spark, d, "conversations")
+    ids = m.select("conv_id").distinct().unionByName(spark.createDataFrame([(-1,)], "conv_id long"))
+    names = F.array(*[F.lit(x) for x in SESSION_MODELS])
+    s = ids.select("conv_id", F.element_at(names, (F.pmod("conv_id", F.lit(3)) + 1).cast("int")).alias("model"), F.lit(-5).cast("long").alias("created_at"))
+    return Z.with_totals(s, m, "conv_id", F.floor(F.length("text") / 4), "turn")
+
+
+SESSION_MODELS = ["openai/gpt-4o", "mistral/codestral", "unknown"]
+SESSIONS_SQL = """(SELECT conv_id, ['openai/gpt-4o','mistral/codestral','unknown'][(conv_id % 3 + 3) % 3 + 1] AS model, -5::BIGINT AS created_at, coalesce(l, -5) AS updated_at, coalesce(n, 0) AS message_count, coalesce(t, 0)::BIGINT AS total_tokens
+    FROM (SELECT DISTINCT conv_id FROM conversations UNION ALL SELECT -1) LEFT JOIN (SELECT conv_id, max(turn) AS l, count(*) AS n, sum(length(text) // 4) AS t FROM conversations GROUP BY conv_id) USING (conv_id))"""
+
+
+@query("session_table", f"SELECT * FROM {SESSIONS_SQL}")
+def session_table(spark, d):
+    return stored_sessions(spark, d)
+
+
+@query(
+    "session_costs",
+    f"""SELECT conv_id, round((total_tokens // 2) * CASE model WHEN 'openai/gpt-4o' THEN 12.5 WHEN 'mistral/codestral' THEN 4.0 ELSE 0.0 END::DOUBLE, 3) AS micro_usd, greatest(0, message_count * 20000 - total_tokens) AS saved FROM {SESSIONS_SQL}""",
+)
+def session_costs(spark, d):
+    return V.session_costs(stored_sessions(spark, d), V.models(spark)).select("conv_id", F.round(C("cost") * 1e6, 3).alias("micro_usd"), "saved")
+
+
+@query("index_gauges", "SELECT max(n) AS capsules, count(*) AS repos FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
+def index_gauges(spark, d):
+    return V.index_gauges(table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")), "n")
+
+
+@query("model_info", f"SELECT provider, model, (SELECT count(*) FROM {MODELS_SQL} m WHERE m.model IN (a.provider || '/' || a.model, a.model)) AS found FROM (VALUES ('openai', 'gpt-4o'), ('x', 'mistral/codestral'), ('x', 'none')) AS a(provider, model)")
+def model_info(spark, d):
+    asked = [("openai", "gpt-4o"), ("x", "mistral/codestral"), ("x", "none")]
+    rows = [V.model_info(V.models(spark), p, m).agg(F.count("*").alias("found")).select(F.lit(p).alias("provider"), F.lit(m).alias("model"), "found") for p, m in asked]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def stored_results(spark, d):
+    """Events as cache rows: a request, subgraph or ontology by its number, one user a key."""
+    e = table(spark, d, "events").withColumn("at", F.unix_micros(C("ts").cast("timestamp")) / F.lit(1e6))
+    kinds = [e.where(F.pmod("user_id", F.lit(3)) == i).select(T.cache_name(k, F.concat(F.lit(" User "), C("user_id").cast("string"))).alias("key"), C("event_id").cast("string").alias("value"), C("at").alias("stored_at"), T.expiry(k, C("at")).alias("expires_at")) for i, k in enumerate(T.LIFETIMES)]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+CACHE_SQL = """(SELECT CASE user_id % 3 WHEN 0 THEN 'query:' || md5('user ' || user_id) WHEN 1 THEN 'subgraph: User ' || user_id ELSE 'ontology: User ' || user_id END AS key, event_id::VARCHAR AS value, epoch_us(ts) / 1e6::DOUBLE AS stored,
+    CASE user_id % 3 WHEN 0 THEN 60 WHEN 1 THEN 300 END AS ttl FROM events)"""
+NOW = "epoch_us(TIMESTAMP '2024-01-30 23:00:00') / 1e6::DOUBLE"
+
+
+@query("cache_lookup", f"SELECT key, CASE WHEN ttl IS NULL OR stored + ttl > {NOW} THEN value END AS value FROM (SELECT key, arg_max(value, stored) AS value, max(stored) AS stored, any_value(ttl) AS ttl FROM {CACHE_SQL} GROUP BY key) UNION ALL SELECT 'query:none', NULL")
+def cache_lookup(spark, d):
+    cache = stored_results(spark, d)
+    asked = cache.select("key").distinct().unionByName(spark.createDataFrame([("query:none",)], "key string"))
+    return T.lookup(cache, asked, F.unix_micros(F.lit("2024-01-30 23:00:00").cast("timestamp")) / F.lit(1e6))
+
+
+@query("cache_clear", f"SELECT DISTINCT key FROM {CACHE_SQL} WHERE key LIKE 'subgraph:%1_'")
+def cache_clear(spark, d):
+    return T.matching(stored_results(spark, d), "subgraph:*1?")
+
+
+AGENT_JSON = """CASE event_type WHEN 'view' THEN concat('{"type": "token", "text": "', event_type, user_id, '"}') WHEN 'click' THEN concat('{"type": "tool_start", "name": "read_file", "args": {"path": "', event_id, '"}}')
+    WHEN 'purchase' THEN concat('{"type": "done", "respuesta": "ok", "iterations": 2, "total_tokens": ', event_id, ', "duration_ms": 5}') ELSE 'no json' END"""
+
+
+@query(
+    "agent_run_totals",
+    """SELECT user_id, count(*) AS events, sum((event_type = 'click')::BIGINT)::BIGINT AS tools, coalesce(sum(CASE WHEN event_type = 'view' THEN 4 + length(user_id::VARCHAR) END), 0)::BIGINT AS text_length,
+        max(CASE WHEN event_type = 'purchase' THEN event_id END) AS total_tokens, max(event_type = 'purchase') AS finished FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY user_id""",
+)
+def agent_run_totals(spark, d):
+    lines = table(spark, d, "events").select("user_id", F.expr(AGENT_JSON).alias("line"))
+    return EV.run_totals(EV.parsed(lines, "line", EV.AGENT_EVENTS), "user_id")
+
+
+@query(
+    "benchmark_run",
+    """SELECT item_id, round(len(hits)::DOUBLE / 4, 2) AS criteria_score, len(hits)::BIGINT AS criteria_hits, 4::BIGINT AS criteria_total, (contains(upper(text), 'SI') OR contains(upper(text), 'SÍ') OR contains(upper(text), 'YES')) AS llm_correct
+        FROM (SELECT *, list_filter(['the', 'of', 'zzz', item_id::VARCHAR], lambda c: contains(lower(strip_accents(text)), lower(c))) AS hits FROM benchmark)""",
+)
+def benchmark_run(spark, d):
+    q = table(spark, d, "benchmark").withColumn("criteria", F.array(F.lit("the"), F.lit("of"), F.lit("zzz"), C("item_id").cast("string")))
+    got = E.benchmark_queries(q, lambda df: df.withColumn("answer", F.upper("text")), lambda df: df.withColumn("said", C("text")))
+    return got.select("item_id", "criteria_score", C("criteria_hits").cast("long").alias("criteria_hits"), C("criteria_total").cast("long").alias("criteria_total"), "llm_correct")
