@@ -1,9 +1,10 @@
 """The engine's interface: index a repository, search it, and build contexts for requests.
 
 The index is a Parquet table partitioned by repository and language, so a request on one repository reads its
-partitions only. Vectors are stored with the records.
+partitions only. Vectors are stored with the records, and postings in a table of each repository.
 """
 
+import hashlib
 from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +21,7 @@ def lexical_text() -> F.Column:
 
 class Engine:
     def __init__(self, spark: SparkSession, home: str):
-        self.spark, self.path = spark, f"{home}/capsules"
+        self.spark, self.home, self.path = spark, home, f"{home}/capsules"
         self.worker = ThreadPoolExecutor(1, "index")
 
     def index(self, root: str, repo: str, languages: list[str] | None = None) -> int:
@@ -35,7 +36,13 @@ class Engine:
         found = extract.capsules(files).where("type <> 'error'").withColumn("repo", F.lit(repo))
         found = found.withColumn("embedding", vectors.encode(vectors.dense_text(F.col("name"), F.col("type"), F.col("signature"), F.col("docstring"))))
         (found.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("repo", "language").parquet(self.path))
-        return self.capsules(repo).count()
+        caps = self.capsules(repo)
+        lexical.write_index(caps.select("id", lexical_text().alias("text")), "id", "text", self.postings(repo))
+        return caps.count()
+
+    def postings(self, repo: str) -> str:
+        """The folder of a repository's lexical index."""
+        return f"{self.home}/postings/{hashlib.sha256(repo.encode()).hexdigest()[:32]}"
 
     def capsules(self, repo: str) -> DataFrame:
         return self.spark.read.parquet(self.path).where(F.col("repo") == repo)
@@ -62,7 +69,7 @@ class Engine:
         """Records for a request with their place: exact matches, then fused dense and lexical ones."""
         caps = self.capsules(repo)
         dense = fusion.ranked(self.dense(caps, query, 15), [F.desc("score"), "id"])
-        sparse = lexical.top(lexical.bm25(caps.select("id", lexical_text().alias("text")), query, "id", "text"), 15, "score", "id")
+        sparse = lexical.top(lexical.search_index(self.spark, self.postings(repo), query), 15, "score", "id")
         places = fusion.hybrid(fusion.exact_tiers(caps, query), dense, fusion.ranked(sparse, [F.desc("score"), "id"]), task)
         return caps.join(F.broadcast(places.select("id", "place")), "id")
 

@@ -13,7 +13,8 @@ from lodeseek.operators.extract_python import python_capsules
 from lodeseek.operators.frameworks import detect_frameworks
 from lodeseek.plans.registry import query, table
 from lodeseek.plans.text_queries import documents
-from lodeseek.schema import prop
+from lodeseek.schema import CAPSULE, prop
+from lodeseek.sources.shared import stored
 from lodeseek.sources.synthetic import source_files
 
 C = F.col
@@ -47,14 +48,20 @@ def capsules(spark, d):
     return python_capsules(source_files(spark, d))
 
 
-def code(spark, d):
+def index(spark, d):
+    """The stored capsules: files are extracted once, and requests read the columns they need."""
+    path = stored(spark, f"capsules of {d}", lambda path: capsules(spark, d).write.parquet(path))
+    return spark.read.schema(CAPSULE).parquet(path)
+
+
+def code(spark, d, caps=None):
     """Functions, tests and classes only (imports of the same name left out)."""
-    return capsules(spark, d).where(C("type").isin("function", "test", "class") & ~F.contains("name", F.lit(".")))
+    return (caps if caps is not None else index(spark, d)).where(C("type").isin("function", "test", "class") & ~F.contains("name", F.lit(".")))
 
 
 @query("py_functions", f"SELECT id, type, name, file_path, start_line, end_line, signature, docstring, array_to_string(calls, ',') AS calls, params, ret, CAST(end_line - start_line + 1 AS VARCHAR) AS n_lines FROM {CODE_SQL} WHERE type <> 'class'")
 def py_functions(spark, d):
-    c = code(spark, d).where("type <> 'class'")
+    c = code(spark, d, capsules(spark, d)).where("type <> 'class'")
     return c.select("id", "type", "name", "file_path", "start_line", "end_line", "signature", "docstring", F.array_join("calls", ",").alias("calls"), prop("parametros").alias("params"), prop("tipo_retorno").alias("ret"), prop("lineas").alias("n_lines"))
 
 

@@ -10,6 +10,7 @@ from lodeseek.operators import fusion, lexical, vectors
 from lodeseek.operators import extract_generic as X
 from lodeseek.operators.graph import find_by_name
 from lodeseek.plans.registry import query, table
+from lodeseek.sources.shared import stored
 from lodeseek.schema import prop
 from lodeseek.sources import files as S
 
@@ -241,9 +242,14 @@ def bm25_idf(spark, d):
     return lexical.document_frequencies(table(spark, d, "documents"), "doc_id", "text").select("token", "df", F.round("idf", 6).alias("idf"))
 
 
+def document_index(spark, d):
+    """The folder of the stored postings of all documents."""
+    return stored(spark, f"documents of {d}", lambda path: lexical.write_index(table(spark, d, "documents"), "doc_id", "text", path))
+
+
 @query("bm25_search", _bm25_sql(ASK) + " SELECT doc_id, round(score, 6) AS score FROM b WHERE score > 0 ORDER BY b.score DESC, doc_id LIMIT 20")
 def bm25_search(spark, d):
-    return lexical.top(lexical.bm25(table(spark, d, "documents"), ASK, "doc_id", "text"), 20, "score", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return lexical.top(lexical.search_index(spark, document_index(spark, d), ASK, "doc_id"), 20, "score", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_per_lang", _bm25_sql("de la the die") + " SELECT lang, place, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS place FROM b WHERE score > 0) WHERE place <= 10")
@@ -332,8 +338,8 @@ def exact_tiers(spark, d):
 
 
 def _lists(spark, d):
-    docs, v = table(spark, d, "documents"), table(spark, d, "embeddings")
-    sparse = fusion.ranked(lexical.top(lexical.bm25(docs, ASK, "doc_id", "text"), 15, "score", "doc_id").withColumnRenamed("doc_id", "id"), [F.desc("score"), "id"])
+    v = table(spark, d, "embeddings")
+    sparse = fusion.ranked(lexical.top(lexical.search_index(spark, document_index(spark, d), ASK), 15, "score", "id"), [F.desc("score"), "id"])
     q = v.where("vec_id = 0").first().embedding
     dense = fusion.ranked(vectors.search(v, q, 15).withColumnRenamed("vec_id", "id"), [F.desc("score"), "id"])
     return dense, sparse

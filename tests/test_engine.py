@@ -33,6 +33,18 @@ def test_bm25(spark):
     assert all(abs(twice[r.id] - 2 * r.score) < 1e-12 for r in got)
 
 
+def test_bm25_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "parse_json parse json text"), (2, "render html page"), (3, "json json"), (4, None), (5, "")], "id int, text string")
+    lexical.write_index(docs, "id", "text", str(tmp_path))
+    for ask in ("json", "json json page", "unknown", "", "parse html TEXT"):
+        want = {r.id: round(r.score, 12) for r in lexical.bm25(docs, ask, "id", "text").collect()}
+        assert {r.id: round(r.score, 12) for r in lexical.search_index(spark, str(tmp_path), ask).collect()} == want
+    plan = lexical.search_index(spark, str(tmp_path), "json page")._jdf.queryExecution().toString()
+    assert "In(token, [json,page])" in plan
+    lexical.write_index(docs.limit(0), "id", "text", str(tmp_path / "none"))
+    assert lexical.search_index(spark, str(tmp_path / "none"), "json").count() == 0
+
+
 def test_rrf_ignores_the_order_of_lists(spark):
     a = spark.createDataFrame([(1, 0), (2, 1)], "id int, rank int")
     b = spark.createDataFrame([(2, 0), (3, 1)], "id int, rank int")
