@@ -1,6 +1,8 @@
 """Cases where a query did less than the whole job."""
 
-from lodeseek.plans.catalog import QUERIES
+import duckdb
+
+from lodeseek.plans.catalog import ORACLE, QUERIES
 
 
 def test_requests_are_whole_texts(spark, tmp_path):
@@ -20,6 +22,16 @@ def test_requests_are_whole_texts(spark, tmp_path):
     assert {"reviewing", "debugging"} <= {r.name for r in QUERIES["skill_match"](spark, str(tmp_path)).collect()}
 
 
+def test_a_yes_is_letters_of_the_text(spark, tmp_path):
+    """ß is one letter, also in capitals: it gives no SI; every other spelling of a yes counts."""
+    texts = ["ein ßieö", "eßi ßí", "yeß", "SI", "sí", "Sí", "pos\u0131ble", "\u017fi", "oh yEs", "ye\u017f", "no", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    said = {r.item_id: r.llm_correct for r in QUERIES["benchmark_run"](spark, str(tmp_path)).collect()}
+    assert [said[i] for i in range(len(texts))] == [False] * 3 + [True] * 7 + [False, None]
+    sql = duckdb.sql(ORACLE["benchmark_run"].replace("FROM benchmark", f"FROM '{tmp_path}/benchmark.parquet/*.parquet'"))
+    assert said == {r[0]: r[-1] for r in sql.fetchall()}
+
+
 def test_evidence_over_all_parts_and_turns(spark, data):
     """Brute force over every turn and every part."""
     parts = [(r.p_partkey, r.p_name.split(" ")[1]) for r in spark.read.parquet(f"{data}/part.parquet").collect()]
