@@ -184,8 +184,9 @@ def context_key(query: Column, repo: Column, task: Column, budget: Column) -> Co
 
 
 def live(cache: DataFrame, stored: str, now: Column, seconds: int = RESULT_TTL) -> DataFrame:
-    """Cache rows that have not expired."""
-    return cache.where(F.unix_timestamp(F.col(stored)) + seconds > F.unix_timestamp(now))
+    """Cache rows that have not expired; both times count as the nearest whole second, halves as the even one."""
+    second = lambda t: F.rint(F.unix_micros(t.cast("timestamp")) / F.lit(1e6))
+    return cache.where(second(F.col(stored)) + seconds > second(now))
 
 
 def permitted(mode: Column, tool: Column, allow: list[str], deny: list[str], path: Column | None = None, repo: str = "") -> Column:

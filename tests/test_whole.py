@@ -32,6 +32,17 @@ def test_a_yes_is_letters_of_the_text(spark, tmp_path):
     assert said == {r[0]: r[-1] for r in sql.fetchall()}
 
 
+def test_expiry_to_the_nearest_second(spark, tmp_path):
+    """Parts of a second round, they are not cut off: 11:55:00.6 counts as 11:55:01, which is alive at 12:00:00 with 300 seconds."""
+    parts = ["54:59.999999", "55:00.000000", "55:00.499999", "55:00.500000", "55:00.500001", "55:00.999999", "55:01.000000", "55:01.500000"]
+    rows = spark.createDataFrame([(i, f"2024-01-15 11:{p}") for i, p in enumerate(parts)] + [(90, None), (91, "1969-12-31 23:59:59.7"), (92, "2024-02-01 00:00:00")], "event_id long, ts string")
+    rows.selectExpr("event_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(r.event_id for r in QUERIES["ttl_lookup"](spark, str(tmp_path)).collect())
+    assert got == [4, 5, 6, 7, 92]
+    sql = duckdb.sql(ORACLE["ttl_lookup"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'"))
+    assert got == sorted(r[0] for r in sql.fetchall())
+
+
 def test_evidence_over_all_parts_and_turns(spark, data):
     """Brute force over every turn and every part."""
     parts = [(r.p_partkey, r.p_name.split(" ")[1]) for r in spark.read.parquet(f"{data}/part.parquet").collect()]
