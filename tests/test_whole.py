@@ -65,6 +65,38 @@ def test_ascii_edges_leave_other_escapes(spark):
     assert got == want
 
 
+def test_nearest_by_blocks(spark, monkeypatch):
+    """Many small cells: equal vectors, near ties, vectors without a direction; the plan has no join of all pairs."""
+    import numpy as np
+
+    from lodeseek.operators import vectors
+
+    monkeypatch.setattr(vectors, "ROWS", (64, 128))
+    monkeypatch.setattr(vectors, "QUERIES", 20)
+    monkeypatch.setattr(vectors, "PAIRS", 700)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 6)).astype("float32")
+    vecs = [*rng.normal(size=(300, 6)).astype("float32"), *base[rng.integers(0, 40, 100)], *[base[0]] * 90, *(base[:40] + 1e-7).astype("float32")]
+    vecs = [v.tolist() for v in vecs] + [None, [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [1.0, 2.0]]
+    rows = [(int(i), v, int(i) % 3) for i, v in zip(rng.permutation(len(vecs)), vecs, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = vectors.search_many(df, df.where("vec_id % 5 = 0").selectExpr("vec_id AS q_id", "embedding AS q_vec", "label AS ql"), 10)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "CartesianProduct" not in got._jdf.queryExecution().toString()
+
+    def score(a, b):
+        if any(v is None or len(v) != 6 or None in v or not any(v) for v in (a, b)):
+            return None
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        return dot(a, b) / (dot(a, a) ** 0.5 * dot(b, b) ** 0.5)
+
+    want = set()
+    for q, v, ql in rows:
+        if q % 5 == 0:
+            of = sorted(((score(v, w), i, c) for i, w, c in rows if i != q), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+            want |= {(q, ql, i, c, p) for p, (_, i, c) in enumerate(of[:10], 1)}
+    assert {(r.q_id, r.ql, r.vec_id, r.label, r.place) for r in got.collect()} == want
+
+
 def test_evidence_over_all_parts_and_turns(spark, data):
     """Brute force over every turn and every part."""
     parts = [(r.p_partkey, r.p_name.split(" ")[1]) for r in spark.read.parquet(f"{data}/part.parquet").collect()]
