@@ -10,10 +10,10 @@ A byte goes if a WINDOW-byte string that covers it also starts in a document wit
    occurrences of contexts whose anchor also has other contexts.
 2. Merge. These contexts go, once each, to a bucket of their anchor. Rows from one block group are a shard: its suffixes
    are sorted and give its Burrows-Wheeler transform. The shards' transforms are merged by interleave refinement:
-   starting from the plain concatenation, each round deals the interleave out by the transforms' symbols, which orders all
-   suffixes by one more symbol; no suffix of another shard is compared. A boundary that appears in round h
-   separates suffixes with a common prefix of h - 1, so after WINDOW rounds the intervals without boundaries are the repeated
-   windows, and the smallest id in an interval decides.
+   starting from the plain concatenation, each round deals the interleave out by the transforms' symbols, as many at once as
+   have numbers of sixteen bits (two to four in prose), which orders all suffixes by as many more; no suffix of another shard is
+   compared. After WINDOW symbols the intervals without boundaries are the repeated windows, and the smallest id in an interval
+   decides.
 3. Cut. Each block recomputes its runs, applies both answers, and merges overlapping windows into removed spans.
 
 Buckets are chosen by hash, and a context reaches a bucket at most once per block in step 1 and once in all in step 2, so
@@ -331,7 +331,7 @@ def ranks(key: np.ndarray) -> np.ndarray:
 
 
 def shard_transform(data: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of all suffixes of the texts by their first depth bytes, and the Burrows-Wheeler transform.
+    """Order of all suffixes of the texts by their first depth bytes, and the symbols of the texts.
 
     Each text is followed by a terminator, symbol 0, which is smaller than all bytes (symbols 1..256). Ranks of the
     first seven symbols are doubled up to depth; suffixes that agree so far may stand in any order.
@@ -357,26 +357,48 @@ def shard_transform(data: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.
         after[left < step] = 0
         rank = ranks((rank << U(32)) | after)
         have += step
-    order = np.argsort(rank, kind="stable")
-    before = np.concatenate([[0], seq[:-1]]).astype(np.uint16)
-    return order, before[order]
+    return np.argsort(rank, kind="stable"), seq
 
 
-def merge_transforms(bwts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def numbered(code: np.ndarray, kinds: int) -> tuple[np.ndarray, int]:
+    """Codes below kinds by their rank among those that occur, in as few bytes as these need, and how many occur."""
+    used = np.zeros(kinds, bool)
+    used[code] = True
+    n = int(used.sum())
+    number = np.cumsum(used, dtype=np.int32)
+    number -= 1
+    return number.astype(np.uint8 if n <= 1 << 8 else np.uint16)[code], n
+
+
+def transforms(orders: list[np.ndarray], seqs: list[np.ndarray], rounds: int) -> list[np.ndarray]:
+    """What each round of a merge deals out by: the shards' transforms by as many symbols at once as sixteen bits number.
+
+    A shard is a ring: before its first symbol stands its last one. Codes of several symbols are in the symbols' order.
+    """
+    def before(k: int) -> np.ndarray:
+        return np.concatenate([np.roll(s, k)[o] for o, s in zip(orders, seqs, strict=True)])
+
+    one, n = numbered(before(1), 257)
+    by, kinds = [one], n
+    while len(by) < rounds:
+        code, many = numbered(numbered(before(len(by) + 1), 257)[0].astype(np.int64) * kinds + by[-1], n * kinds)
+        if many > 1 << 16:
+            break
+        by.append(code)
+        kinds = many
+    whole, rest = divmod(rounds, len(by))
+    return [by[-1]] * whole + ([by[rest - 1]] if rest else [])
+
+
+def merge_transforms(orders: list[np.ndarray], seqs: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the shards' suffixes ordered by their first `rounds` symbols, and where intervals of equal ones begin."""
-    z = np.repeat(np.arange(len(bwts), dtype=np.uint8), [len(b) for b in bwts])
-    text = np.concatenate(bwts)
-    used = np.flatnonzero(np.bincount(text, minlength=257))
-    if len(used) <= 256:  # symbols by rank fit one byte, which sorts in one pass
-        number = np.zeros(257, np.uint8)
-        number[used] = np.arange(len(used))
-        text = number[text]
+    z = np.repeat(np.arange(len(seqs), dtype=np.uint8), [len(s) for s in seqs])
     group = np.zeros(len(z), np.int32)
-    sym = np.empty(len(z), text.dtype)
     new = np.zeros(len(z), bool)
     new[:1] = True
-    for _ in range(rounds):
-        sym[np.argsort(z, kind="stable")] = text  # the next symbol of each shard, in the interleave's order
+    for text in transforms(orders, seqs, rounds):
+        sym = np.empty(len(z), text.dtype)
+        sym[np.argsort(z, kind="stable")] = text  # the next symbols of each shard, in the interleave's order
         deal = np.argsort(sym, kind="stable")
         z, s, g = z[deal], sym[deal], group[deal]
         np.not_equal(g[1:], g[:-1], out=new[1:])
@@ -387,8 +409,9 @@ def merge_transforms(bwts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, n
 
 def repeated(windows: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """For each shard (bytes, texts' sizes, texts' ids): for every byte whether the window there starts in a text with a smaller id."""
-    orders, bwts = zip(*[shard_transform(d, s, windows) for d, s, _ in parts], strict=True)
-    z, new = merge_transforms(list(bwts), windows)
+    orders, seqs = zip(*[shard_transform(d, s, windows) for d, s, _ in parts], strict=True)
+    z, new = merge_transforms(list(orders), list(seqs), windows)
+    del seqs
     ids, room, place = [], [], []
     for order, (_, size, owner) in zip(orders, parts, strict=True):
         ends = np.cumsum(size + 1) - 1

@@ -218,3 +218,29 @@ def test_licence_families_and_others(spark):
         grams = [int(C.join_hash(C.join_hash(h[i : i + 1], h[i + 1 : i + 2]), h[i + 2 : i + 3])[0] if n == 3 else C.join_hash(h[i : i + 1], h[i + 1 : i + 2])[0] if n == 2 else h[i]) for n in (1, 2, 3) for i in range(len(h) - n + 1)]
         z = sum(m.weights[known.get(g, len(m.grams))] for g in grams) / len(grams) + m.weights[-1]
         assert np.allclose(licenses.softmax(z[None])[0], licenses.softmax(m.logits(h, np.array([0, len(h)])))[0], atol=1e-9)
+
+
+def test_op7_merges_by_several_symbols_a_round():
+    """Fewer rounds than the window has bytes, and the windows of a brute force, for any length of the window."""
+    import numpy as np
+
+    from lodeseek.llm import suffix_dedup as S
+
+    rng = np.random.default_rng(5)
+    for window in (1, 2, 7, 20, 51):
+        common = [rng.integers(97, 100, 60).astype(np.uint8) for _ in range(4)]
+        parts = []
+        for _ in range(3):
+            texts = [np.concatenate([rng.integers(0, 256, rng.integers(0, 30)).astype(np.uint8), common[rng.integers(4)]]) for _ in range(6)]
+            parts.append((np.concatenate(texts), np.array([len(t) for t in texts]), rng.integers(0, 15, len(texts))))
+        least, at = {}, []
+        for d, size, owner in parts:
+            for t, end in enumerate(np.cumsum(size).tolist()):
+                begin = end - int(size[t])
+                at.append([(d[i : i + window].tobytes() if i + window <= end else None, int(owner[t])) for i in range(begin, end)])
+        for w, o in sum(at, []):
+            least[w] = min(o, least.get(w, o))
+        want = [w is not None and least[w] < o for w, o in sum(at, [])]
+        assert np.concatenate(S.repeated(window, parts)).tolist() == want
+        orders, seqs = zip(*[S.shard_transform(d, s, window) for d, s, _ in parts], strict=True)
+        assert window < 7 or len(S.transforms(list(orders), list(seqs), window)) <= -(-window // 2)
