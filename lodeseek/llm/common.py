@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one numpy pass handles; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Head of a part of deal_texts(): rows, bytes.
+PART = "<IQ"
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -426,8 +429,52 @@ def deal(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "block int, part binary")
 
 
+def deal_texts(rows: DataFrame) -> DataFrame:
+    """deal() for rows (block, k bigint, t string, null: empty) and many blocks, where a stream for a few texts costs more than the texts.
+
+    A part is its number of rows, its length, and compressed ids, sizes, whether ids are null, and texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            block = b.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            k, t = b.column("k").take(pa.array(order)), b.column("t").take(pa.array(order))
+            ids, none = k.fill_null(0).to_numpy(), k.is_null().to_numpy(zero_copy_only=False)
+            data, offs = text_buffer(t)
+            size = np.diff(offs).astype(np.uint32)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(block[order])) + 1, [len(order)]])
+            parts = []
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                raw = b"".join([ids[i:j].tobytes(), size[i:j].tobytes(), none[i:j].tobytes(), data[offs[i] : offs[j]].tobytes()])
+                parts.append(struct.pack(PART, j - i, len(raw)) + codec.compress(raw, asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(block[order][cut[:-1]], pa.int32()), pa.array(parts, pa.binary())], names=["block", "texts"])
+
+    return rows.mapInArrow(run, "block int, texts binary")
+
+
+def dealt_texts(parts: list[bytes]) -> pa.Table:
+    """Rows (k, t) of parts of deal_texts()."""
+    codec, ids, size, none, texts = pa.Codec("zstd"), [], [], [], []
+    for p in parts:
+        n, length = struct.unpack_from(PART, p)
+        raw = codec.decompress(memoryview(p)[struct.calcsize(PART) :], length, asbytes=True)
+        ids.append(np.frombuffer(raw, np.int64, n))
+        size.append(np.frombuffer(raw, np.uint32, n, 8 * n))
+        none.append(np.frombuffer(raw, bool, n, 12 * n))
+        texts.append(memoryview(raw)[13 * n :])
+    offs = np.concatenate([[0], np.cumsum(np.concatenate(size), dtype=np.int64)])
+    t = pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(offs), pa.py_buffer(b"".join(texts))])
+    return pa.table({"k": pa.array(np.concatenate(ids), mask=np.concatenate(none)), "t": t})
+
+
 def undeal(table: pa.Table, by: list[str]) -> pa.Table:
     """The rows of a block, sorted by columns."""
+    if "texts" in table.column_names:
+        return dealt_texts(table["texts"].to_pylist()).sort_by([(c, "ascending") for c in by])
     got = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in table["part"].to_pylist()])
     return got.sort_by([(c, "ascending") for c in by])
 

@@ -11,13 +11,14 @@ A byte goes if a WINDOW-byte string that covers it also starts in a document wit
 2. Merge. These contexts go, once each, to a bucket of their anchor. Rows from one block group are a shard: its suffixes
    are sorted and give its Burrows-Wheeler transform. The shards' transforms are merged by interleave refinement:
    starting from the plain concatenation, each round deals the interleave out by the transforms' symbols, as many at once as
-   have numbers of sixteen bits (two to four in prose), which orders all suffixes by as many more; no suffix of another shard is
-   compared. After WINDOW symbols the intervals without boundaries are the repeated windows, and the smallest id in an interval
+   fit, numbered, beside a place in 64 bits (ten or more in prose), which orders all suffixes by as many more; no suffix of another
+   shard is compared. After WINDOW symbols the intervals without boundaries are the repeated windows, and the smallest id in an interval
    decides.
 3. Cut. Each block recomputes its runs, applies both answers, and merges overlapping windows into removed spans.
 
 Buckets are chosen by hash, and a context reaches a bucket at most once per block in step 1 and once in all in step 2, so
-a passage that stands in a third of all documents is as many small rows as there are blocks.
+a passage that stands in a third of all documents is as many small rows as there are blocks. There is a row for each pair of block
+and bucket, so buckets of messages are few and large (MESSAGE_BYTES of text); a merge takes them in smaller ones (MERGE_BYTES).
 
 A line that many documents hold between different texts gives one anchor as many contexts as documents. Such hot anchors
 are split: their windows by the place of the anchor, CHUNK places a piece, with the bytes that all windows of a piece share as
@@ -51,6 +52,10 @@ BLOCK_BYTES = 4 << 20
 #: A text is handled in pieces of so many window starts; pieces overlap by a window.
 PIECE = 1 << 18
 SHARDS = 8
+#: Bytes of input text, at least, for each bucket of messages and for each merge.
+MESSAGE_BYTES, MERGE_BYTES = 32 << 20, 8 << 20
+#: Shorter parts of messages are not compressed.
+SMALL = 1 << 10
 POS = U((1 << 24) - 1)
 NONE = np.iinfo(np.int64).max
 #: A key with so many contexts in the first block is split.
@@ -213,8 +218,13 @@ def hot_keys(window: int):
     return run
 
 
-def packed(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+def packed(x: np.ndarray | bytes) -> bytes:
+    raw = x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes()
+    return b"0" + raw if len(raw) < SMALL else b"1" + zlib.compress(raw, 1)
+
+
+def unpacked(raw: bytes) -> bytes:
+    return raw[1:] if raw[:1] == b"0" else zlib.decompress(raw[1:])
 
 
 def small_ids(x: np.ndarray) -> list[bytes]:
@@ -278,7 +288,7 @@ def answers(table: pa.Table) -> pa.Table:
         mine = least[at[r] : at[r + 1]]
         less = mine != NONE
         head, body = small_ids(mine[less])
-        out.append([packed(np.packbits(less)), head, zlib.compress(body, 1), packed(np.packbits(flag[at[r] : at[r + 1]]))])
+        out.append([packed(np.packbits(less)), head, packed(body), packed(np.packbits(flag[at[r] : at[r + 1]]))])
     return pa.table({"block": table["block"], "bucket": table["bucket"], "told": pa.array(out, pa.list_(pa.binary()))})
 
 
@@ -287,17 +297,17 @@ def read_answers(rows: pa.Table, cut: np.ndarray, own: np.ndarray) -> tuple[np.n
     least, flag = own.copy(), []
     for r, (less, head, body, f) in enumerate(rows.sort_by("bucket")["told"].to_pylist()):
         n = cut[r + 1] - cut[r]
-        least[cut[r] + np.flatnonzero(bits_of(less, n))] = ids_of(head, zlib.decompress(body))
+        least[cut[r] + np.flatnonzero(bits_of(less, n))] = ids_of(head, unpacked(body))
         flag.append(bits_of(f, n))
     return least, np.concatenate(flag).astype(bool)
 
 
 def bits_of(raw: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(raw), np.uint8), count=int(n))
+    return np.unpackbits(np.frombuffer(unpacked(raw), np.uint8), count=int(n))
 
 
-def open_contexts(bits: int, window: int, hot: Hot):
-    """Contexts whose first occurrence is in this block and whose anchor has other contexts: one row for each bucket."""
+def open_contexts(bits: int, fine: int, window: int, hot: Hot):
+    """Contexts whose first occurrence is in this block and whose anchor has other contexts: one row for each bucket, in the order of its 2**fine merges."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, buckets = [], []
@@ -315,18 +325,40 @@ def open_contexts(bits: int, window: int, hot: Hot):
                 at = np.cumsum(size) - size
                 src = np.arange(size.sum()) - np.repeat(at, size) + np.repeat(blk.lo[r], size)
                 buckets.append(b)
-                rows.append([(k - cut[b]).astype(np.uint32).tobytes(), *small_ids(least[k]), size.astype(np.uint32).tobytes(), packed(blk.data[src])])
+                merge = (blk.key_anchor[k] << U(bits)) >> U(64 - fine) if fine else np.zeros(len(k), np.uint64)
+                of = np.bincount(merge.astype(np.int64), minlength=1 << fine).astype(np.uint32)
+                rows.append([(k - cut[b]).astype(np.uint32).tobytes(), *small_ids(least[k]), size.astype(np.uint32).tobytes(), packed(blk.data[src]), of.tobytes()])
         block = left["block"][0].as_py() if left.num_rows else 0
         return pa.table({"bucket": pa.array(buckets, pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "ctx": pa.array(rows, pa.list_(pa.binary()))})
 
     return run
 
 
-def ranks(key: np.ndarray) -> np.ndarray:
-    """Dense ranks of keys."""
-    order = np.argsort(key)
+def ranks(key: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
+    """Dense ranks of keys below 2**bits, an order of the keys, and how many differ. Keys that leave room for their place are sorted as numbers."""
+    room = width(len(key))
+    if bits + room <= 64:
+        got = np.sort((key << U(room)) | np.arange(len(key), dtype=np.uint64))
+        order = (got & U((1 << room) - 1)).astype(np.int64)
+        got >>= U(room)
+    else:
+        order = np.argsort(key)
+        got = key[order]
+    number = np.cumsum(starts_of(got))
     out = np.empty(len(key), np.uint64)
-    out[order] = np.cumsum(starts_of(key[order])) - 1
+    out[order] = number - 1
+    return out, order, int(number[-1]) if len(key) else 0
+
+
+def width(n: int) -> int:
+    """Bits that hold numbers below n."""
+    return max(1, (n - 1).bit_length())
+
+
+def ahead(x: np.ndarray, step: int) -> np.ndarray:
+    """What stands step places later; 0 after the end."""
+    out = np.zeros(len(x), x.dtype)
+    out[: max(0, len(x) - step)] = x[step:]
     return out
 
 
@@ -334,7 +366,7 @@ def shard_transform(data: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.
     """Order of all suffixes of the texts by their first depth bytes, and the symbols of the texts.
 
     Each text is followed by a terminator, symbol 0, which is smaller than all bytes (symbols 1..256). Ranks of the
-    first seven symbols are doubled up to depth; suffixes that agree so far may stand in any order.
+    first few symbols are joined, two or more at once, up to depth; suffixes that agree so far may stand in any order.
     """
     n = len(size)
     ends = np.cumsum(size + 1) - 1
@@ -344,69 +376,109 @@ def shard_transform(data: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.
     seq[body] = data
     seq[body] += np.uint16(1)
     left = np.repeat(ends, size + 1) - np.arange(len(seq))  # symbols up to the terminator
-    long = np.concatenate([seq.astype(np.uint64), np.zeros(8, np.uint64)])
-    have = min(7, depth)
-    key = np.zeros(len(seq), np.uint64)
-    for k in range(have):
-        key = (key << U(9)) | np.where(left >= k, long[k : k + len(seq)], U(0))
-    rank = ranks(key)
-    while have < depth:
-        step = min(have, depth - have)
-        after = np.zeros(len(seq), np.uint64)
-        after[: len(seq) - step] = rank[step:] + U(1)
-        after[left < step] = 0
-        rank = ranks((rank << U(32)) | after)
-        have += step
-    return np.argsort(rank, kind="stable"), seq
-
-
-def numbered(code: np.ndarray, kinds: int) -> tuple[np.ndarray, int]:
-    """Codes below kinds by their rank among those that occur, in as few bytes as these need, and how many occur."""
-    used = np.zeros(kinds, bool)
+    symbol, kinds = numbered(seq)
+    kinds, have, fits = kinds - 1, 1, 64 - width(len(seq))
+    base = rank = symbol.astype(np.uint64)
+    while True:
+        bits, key, got = width(kinds + 1), rank, have
+        parts = max(2, fits // bits)
+        for _ in range(parts - 1):
+            step = min(have, depth - got)
+            if step <= 0:
+                break
+            # What is beyond a terminator is 0, as is the terminator; where step is short the two overlap.
+            after = ahead(base, got - have + step)
+            after[left < got - have + step] = 0
+            key = (key << U(bits)) | after
+            got += step
+        rank, order, kinds = ranks(key, min(64, bits * parts))
+        have = got
+        if have >= depth:
+            return order, seq
+        rank += U(1)
+        base = rank
+
+
+def numbered(code: np.ndarray) -> tuple[np.ndarray, int]:
+    """Symbols of any shards by their rank among those that occur, and how many occur."""
+    used = np.zeros(257, bool)
     used[code] = True
-    n = int(used.sum())
     number = np.cumsum(used, dtype=np.int32)
     number -= 1
-    return number.astype(np.uint8 if n <= 1 << 8 else np.uint16)[code], n
+    return number.astype(np.uint16)[code], int(used.sum())
 
 
 def transforms(orders: list[np.ndarray], seqs: list[np.ndarray], rounds: int) -> list[np.ndarray]:
-    """What each round of a merge deals out by: the shards' transforms by as many symbols at once as sixteen bits number.
+    """What each round of a merge deals out by: the shards' transforms by as many symbols at once as fit beside a place in 64 bits.
 
-    A shard is a ring: before its first symbol stands its last one. Codes of several symbols are in the symbols' order.
+    A shard is a ring: before its first symbol stands its last one. As many symbols as fit are a gram; the grams that occur are
+    numbered, and as many numbers as fit are a code. Codes are in the symbols' order.
     """
-    def before(k: int) -> np.ndarray:
-        return np.concatenate([np.roll(s, k)[o] for o, s in zip(orders, seqs, strict=True)])
-
-    one, n = numbered(before(1), 257)
-    by, kinds = [one], n
-    while len(by) < rounds:
-        code, many = numbered(numbered(before(len(by) + 1), 257)[0].astype(np.int64) * kinds + by[-1], n * kinds)
-        if many > 1 << 16:
-            break
-        by.append(code)
-        kinds = many
-    whole, rest = divmod(rounds, len(by))
-    return [by[-1]] * whole + ([by[rest - 1]] if rest else [])
+    fits = 64 - width(sum(len(s) for s in seqs))
+    every, kinds = numbered(np.concatenate(seqs))
+    bits = width(kinds)
+    at = np.cumsum([len(s) for s in seqs])[:-1]
+    rings = np.split(every.astype(np.uint64), at)
+
+    def gram(k: int) -> list[np.ndarray]:
+        """The k symbols from each place of a shard on."""
+        return [sum((np.roll(r, -i) << U(bits * (k - 1 - i)) for i in range(k)), np.zeros(len(r), np.uint64)) for r in rings]
+
+    def before(grams: list[np.ndarray], k: int) -> list[np.ndarray]:
+        return [np.roll(g, k) for g in grams]
+
+    def placed(codes: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([c[o] for c, o in zip(codes, orders, strict=True)])
+
+    span = max(1, min(rounds, fits // bits))
+    number, _, kinds = ranks(np.concatenate(gram(span)), min(64, bits * span))
+    grams, wide = np.split(number, at), width(kinds)
+    many = max(1, fits // wide)
+
+    def code(k: int) -> np.ndarray:
+        """Code of the k symbols before each suffix, in whole grams and the symbols that are left."""
+        whole, rest = divmod(k, span)
+        out = before(gram(rest), k) if rest else [np.zeros(len(r), np.uint64) for r in rings]
+        for i in range(whole):
+            out = [(c << U(wide)) | g for c, g in zip(out, before(grams, (whole - i) * span), strict=True)]
+        return placed(out)
+
+    most = many * span
+    whole, rest = divmod(rounds, most)
+    by = [code(most)] * whole if whole else []
+    while rest:  # symbols that do not fit beside the grams have a round of their own
+        odd = rest % span
+        k = rest if not odd or bits * odd + wide * (rest // span) <= fits else odd
+        by.append(code(k))
+        rest -= k
+    return by
 
 
 def merge_transforms(orders: list[np.ndarray], seqs: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the shards' suffixes ordered by their first `rounds` symbols, and where intervals of equal ones begin."""
     z = np.repeat(np.arange(len(seqs), dtype=np.uint8), [len(s) for s in seqs])
+    room = width(len(z))
     group = np.zeros(len(z), np.int32)
     new = np.zeros(len(z), bool)
     new[:1] = True
     for text in transforms(orders, seqs, rounds):
-        sym = np.empty(len(z), text.dtype)
-        sym[np.argsort(z, kind="stable")] = text  # the next symbols of each shard, in the interleave's order
-        deal = np.argsort(sym, kind="stable")
-        z, s, g = z[deal], sym[deal], group[deal]
+        key = text << U(room)
+        key |= by_shard(z, len(seqs)).astype(np.uint64)  # the next symbols of each shard, and their places in the interleave
+        key.sort()
+        deal = (key & U((1 << room) - 1)).astype(np.int64)
+        key >>= U(room)
+        z, g = z[deal], group[deal]
         np.not_equal(g[1:], g[:-1], out=new[1:])
-        new[1:] |= s[1:] != s[:-1]
+        new[1:] |= key[1:] != key[:-1]
         np.cumsum(new, out=group)
     return z, new
 
 
+def by_shard(z: np.ndarray, shards: int) -> np.ndarray:
+    """Interleave places of all shards' suffixes, in the shards' own order."""
+    return np.concatenate([np.flatnonzero(z == k) for k in range(shards)])
+
+
 def repeated(windows: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """For each shard (bytes, texts' sizes, texts' ids): for every byte whether the window there starts in a text with a smaller id."""
     orders, seqs = zip(*[shard_transform(d, s, windows) for d, s, _ in parts], strict=True)
@@ -414,12 +486,11 @@ def repeated(windows: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]
     del seqs
     ids, room, place = [], [], []
     for order, (_, size, owner) in zip(orders, parts, strict=True):
-        ends = np.cumsum(size + 1) - 1
-        text = np.searchsorted(ends, order)
+        text = np.repeat(np.arange(len(size)), size + 1)[order]
         ids.append(owner[text])
-        room.append(ends[text] - order >= windows)
+        room.append((np.cumsum(size + 1) - 1)[text] - order >= windows)
         place.append(order - text)
-    back = np.argsort(z, kind="stable")  # interleave places of all shards' suffixes, in the shards' own order
+    back = by_shard(z, len(parts))
     got = np.empty(len(z), np.int64)
     got[back] = np.concatenate(ids)
     ok = np.empty(len(z), bool)
@@ -437,25 +508,40 @@ def repeated(windows: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]
     return out
 
 
-def merge_bucket(window: int):
+class Contexts:
+    """The contexts of one block in a bucket: ids, sizes and bytes, cut into the bucket's merges."""
+
+    def __init__(self, row: list[bytes]):
+        self.keys, head, body, sizes, data, of = row
+        self.ids, self.size, self.data = ids_of(head, body), np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(unpacked(data), np.uint8)
+        self.cut = np.concatenate([[0], np.cumsum(np.frombuffer(of, np.uint32).astype(np.int64))])
+        self.edge = np.concatenate([[0], np.cumsum(self.size)])[self.cut]
+        self.flags = np.zeros(len(self.data), bool)
+
+    def part(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = slice(self.cut[m], self.cut[m + 1])
+        return self.data[self.edge[m] : self.edge[m + 1]], self.size[s], self.ids[s]
+
+
+def merge_bucket(fine: int, window: int):
     def run(table: pa.Table) -> pa.Table:
-        blocks, rows = table["block"].to_numpy(), table["ctx"].to_pylist()
-        shard: dict[int, list[int]] = {}
-        for r in np.argsort(blocks, kind="stable").tolist():
-            shard.setdefault(int(blocks[r]) % SHARDS, []).append(r)
-        parts, sizes = [], {}
-        for s in shard.values():
-            data = np.concatenate([np.frombuffer(zlib.decompress(rows[r][4]), np.uint8) for r in s])
-            for r in s:
-                sizes[r] = np.frombuffer(rows[r][3], np.uint32).astype(np.int64)
-            parts.append((data, np.concatenate([sizes[r] for r in s]), np.concatenate([ids_of(rows[r][1], rows[r][2]) for r in s])))
-        masks: list[list[bytes]] = [[] for _ in rows]
-        for s, flags in zip(shard.values(), repeated(window, parts), strict=True):
-            k = 0
-            for r in s:
-                n = int(sizes[r].sum())
-                masks[r] = [rows[r][0], packed(np.packbits(flags[k : k + n])), rows[r][3]]
-                k += n
+        blocks, rows = table["block"].to_numpy(), [Contexts(r) for r in table["ctx"].to_pylist()]
+        order = np.argsort(blocks, kind="stable").tolist()
+        for m in range(1 << fine):
+            shard: dict[int, list[Contexts]] = {}
+            for r in order:
+                if rows[r].cut[m] < rows[r].cut[m + 1]:
+                    shard.setdefault(int(blocks[r]) % SHARDS, []).append(rows[r])
+            if not shard:
+                continue
+            parts = [tuple(np.concatenate(x) for x in zip(*[c.part(m) for c in own], strict=True)) for own in shard.values()]
+            for own, flags in zip(shard.values(), repeated(window, parts), strict=True):
+                k = 0
+                for c in own:
+                    n = int(c.edge[m + 1] - c.edge[m])
+                    c.flags[c.edge[m] : c.edge[m + 1]] = flags[k : k + n]
+                    k += n
+        masks = [[c.keys, packed(np.packbits(c.flags)), c.size.astype(np.uint32).tobytes()] for c in rows]
         return pa.table({"block": table["block"], "bucket": table["bucket"], "told": pa.array(masks, pa.list_(pa.binary()))})
 
     return run
@@ -529,18 +615,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"windows have {K} bytes or more")
     size = C.total_bytes(docs, text_col)
     blocks = max(1, -(-size // block_bytes))
-    bits = min(14, max(6, (size // (8 << 20)).bit_length()))
+    bits = min(14, max(6, (size // MESSAGE_BYTES).bit_length()))
+    fine = max(0, (size // MERGE_BYTES).bit_length() - bits)
     ident, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.pmod(F.xxhash64(ident, F.substring(text, 1, 64)), F.lit(blocks)).cast("int").alias("block"), ident.alias("k"), text.alias("t"))
-    sample = C.deal(rows.where("block = 0")).groupBy("block").applyInArrow(hot_keys(window), "level int, key bigint").collect()  # at most a block's keys / HOT
+    sample = C.deal_texts(rows.where("block = 0")).groupBy("block").applyInArrow(hot_keys(window), "level int, key bigint").collect()  # at most a block's keys / HOT
     keys = [np.array([r.key for r in sample if r.level == k], np.int64).view(np.uint64) for k in (0, 1)]
     hot = Hot(*keys, bits=min(40, (4 * blocks).bit_length()))
-    rows = C.deal(rows)
+    rows = C.deal_texts(rows)
     asked = rows.groupBy("block").applyInArrow(requests(bits, window, hot), "bucket int, block int, asked array<binary>")
     told = asked.groupBy("bucket").applyInArrow(answers, "block int, bucket int, told array<binary>")
     by_block = rows.groupBy("block")
-    ctx = by_block.cogroup(told.groupBy("block")).applyInArrow(open_contexts(bits, window, hot), "bucket int, block int, ctx array<binary>")
-    merged = ctx.groupBy("bucket").applyInArrow(merge_bucket(window), "block int, bucket int, told array<binary>")
+    ctx = by_block.cogroup(told.groupBy("block")).applyInArrow(open_contexts(bits, fine, window, hot), "bucket int, block int, ctx array<binary>")
+    merged = ctx.groupBy("bucket").applyInArrow(merge_bucket(fine, window), "block int, bucket int, told array<binary>")
     both = told.withColumn("merged", F.lit(False)).unionByName(merged.withColumn("merged", F.lit(True)))
     out = by_block.cogroup(both.groupBy("block")).applyInArrow(cuts(bits, window, hot, pa.int64()), "k bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, sha string")
     return out.select(F.col("k").alias(id_col), "n_bytes", "n_removed", "spans", "kept", F.col("sha").alias("kept_sha256"))

@@ -244,3 +244,39 @@ def test_op7_merges_by_several_symbols_a_round():
         assert np.concatenate(S.repeated(window, parts)).tolist() == want
         orders, seqs = zip(*[S.shard_transform(d, s, window) for d, s, _ in parts], strict=True)
         assert window < 7 or len(S.transforms(list(orders), list(seqs), window)) <= -(-window // 2)
+
+
+def test_op7_grows_with_the_input(spark):
+    """Few rounds over prose; a bucket of messages is cut into merges; a part of few texts is not longer than they are."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodeseek.llm import common as C
+    from lodeseek.llm import suffix_dedup as S
+
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 8))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(40)]
+    texts += [texts[k % 40][: 80 + 5 * k] + " ".join(rng.choice(words, 30)) for k in range(20)]
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    parts = [(np.concatenate(data[k::4]), np.array([len(t) for t in data[k::4]]), np.arange(60)[k::4]) for k in range(4)]
+    orders, seqs = zip(*[S.shard_transform(d, s, 50) for d, s, _ in parts], strict=True)
+    assert len(S.transforms(list(orders), list(seqs), 50)) <= 7
+
+    rows = []
+    for d, size, ids in parts:
+        of = np.array([5, 0, 4, len(size) - 9], np.uint32)  # each block's texts in four merges, one of them empty
+        rows.append([b"", *S.small_ids(ids), size.astype(np.uint32).tobytes(), S.packed(d), of.tobytes()])
+    table = pa.table({"block": pa.array(range(4), pa.int32()), "bucket": pa.array([0] * 4, pa.int32()), "ctx": pa.array(rows, pa.list_(pa.binary()))})
+    got = [S.bits_of(m, len(d)) for (_, m, _), (d, _, _) in zip(S.merge_bucket(2, 50)(table)["told"].to_pylist(), parts, strict=True)]
+    for a, b in ((0, 5), (5, 9), (9, 15)):
+        own = [np.concatenate([[0], np.cumsum(s)])[[a, min(b, len(s))]] for _, s, _ in parts]
+        want = S.repeated(50, [(d[i:j], s[a:b], ids[a:b]) for (d, s, ids), (i, j) in zip(parts, own, strict=True)])
+        assert [g[i:j].tolist() for g, (i, j) in zip(got, own, strict=True)] == [w.tolist() for w in want]
+
+    rows = [(k % 7, None if k == 3 else k - 5, "" if k % 5 == 0 else "né " * k) for k in range(50)]
+    dealt = C.deal_texts(spark.createDataFrame(rows, "block int, k bigint, t string").coalesce(1)).collect()
+    assert len(dealt) == 7 and all(len(r.texts) < 300 for r in dealt)
+    for r in dealt:
+        back = C.undeal(pa.table({"texts": pa.array([r.texts], pa.binary())}), ["k", "t"]).to_pylist()
+        assert sorted(map(str, back)) == sorted(str({"k": k, "t": t}) for b, k, t in rows if b == r.block)
